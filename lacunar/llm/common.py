@@ -60,7 +60,7 @@ def _clean() -> None:
 
 def parts(df: DataFrame, per_part_mb: float = 16.0, least: int = 8) -> int:
     """A partition count in proportion to the size that Spark estimates for df."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return max(least, min(20_000, math.ceil(size / (per_part_mb * 1e6))))
 
 

@@ -9,8 +9,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media
-from .common import read
+from . import fingerprint, langid, media
+from .common import crc_mod, read
+
+
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.edited_pairs(read(spark, sf_dir, "documents"))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    held = crc_mod("doc_id", 4) == 2
+    return langid.predict(docs, langid.train(docs.where(~held)), held)
 
 
 def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
