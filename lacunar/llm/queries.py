@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint, langid, media
+from . import fingerprint, langid, media, mixing, urlfilter
 from .common import crc_mod, read
 
 
@@ -23,6 +23,23 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, langid.train(docs.where(~held)), held)
 
 
+RULES = [
+    urlfilter.Rule("org", "/", True),
+    urlfilter.Rule("example.org", "/es/", False),
+    urlfilter.Rule("example.org", "/en/1", False),
+    urlfilter.Rule("com", "/fr/", True),
+    urlfilter.Rule("com", "/de/", False),
+]
+
+
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(read(spark, sf_dir, "pages"), RULES)
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read(spark, sf_dir, "documents"))
+
+
 def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.summary(read(spark, sf_dir, "documents"))
 
@@ -33,4 +50,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_mixing": mixing.SQL}
