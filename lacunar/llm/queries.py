@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint, langid, media, mixing, urlfilter
+from . import fingerprint, langid, media, mixing, quality, urlfilter
 from .common import crc_mod, read
 
 
@@ -23,6 +23,12 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, langid.train(docs.where(~held)), held)
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    field = quality.train(docs, labels.where(crc_mod("doc_id", 5) != 0))
+    return quality.score(docs, field, crc_mod("doc_id", 5) == 0)
+
+
 RULES = [
     urlfilter.Rule("org", "/", True),
     urlfilter.Rule("example.org", "/es/", False),
