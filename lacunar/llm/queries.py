@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint, langid, media, mixing, quality, urlfilter
+from . import fingerprint, langid, media, mixing, packing, quality, urlfilter
 from .common import crc_mod, read
 
 
@@ -29,6 +29,17 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, field, crc_mod("doc_id", 5) == 0)
 
 
+def tokenizer() -> str:
+    """Path of the public word tokenizer."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(packing.pieces(read(spark, sf_dir, "documents"), tokenizer()))
+
+
 RULES = [
     urlfilter.Rule("org", "/", True),
     urlfilter.Rule("example.org", "/es/", False),
