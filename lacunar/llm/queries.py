@@ -8,8 +8,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import fingerprint, langid, media, mixing, packing, quality, urlfilter
+from . import fingerprint, langid, linededup, media, mixing, packing, quality, urlfilter
 from .common import crc_mod, read
 
 
@@ -29,6 +30,11 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, field, crc_mod("doc_id", 5) == 0)
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = linededup.dedup(read(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
 def tokenizer() -> str:
     """Path of the public word tokenizer."""
     import public_tokenizers
@@ -67,4 +73,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_mixing": mixing.SQL}
+    return {"op7_line_dedup": linededup.SQL, "op10_mixing": mixing.SQL}
