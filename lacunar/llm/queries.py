@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, langid, linededup, media, mixing, packing, quality, tgm, urlfilter
+from . import fingerprint, langid, linededup, lpf, media, mixing, packing, quality, tgm, urlfilter
 from .common import crc_mod, read
 
 
@@ -30,6 +30,10 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, field, crc_mod("doc_id", 5) == 0)
 
 
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lpf.cut(read(spark, sf_dir, "documents"))
+
+
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tgm.join(read(spark, sf_dir, "documents"))
 
