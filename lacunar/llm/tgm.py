@@ -240,3 +240,15 @@ def join(df: DataFrame, n: int = 3, percent: int = 90, text: str = "text", key:
     named = named.join(found, F.col("node") == F.col("_node"), "left")
     least = F.coalesce("component", "node", "o")
     return named.select(F.when(F.col("o") != NO_ID, F.col("o")).alias("doc_id"), F.col("n").alias("n_shingles"), F.when(least != NO_ID, least).alias("component_id"))
+
+
+def one_of_each(df: DataFrame, n: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """The rows of df whose id is the least of its component, one row for each id.
+
+    Rows without an id have nothing to be told apart by and stay.
+    """
+    known = df.where(F.col(key).isNotNull())
+    stays = join(known, n, percent, text, key).where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
+    same = Window.partitionBy("_id").orderBy(F.xxhash64(F.col(text)))
+    kept = known.join(stays, F.col(key) == F.col("_id")).withColumn("_row", F.row_number().over(same)).where("_row = 1")
+    return kept.select(*df.columns).unionByName(df.where(F.col(key).isNull()))
