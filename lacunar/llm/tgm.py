@@ -10,9 +10,12 @@ with one set (128-bit hash of it) are one node from the start. Two sets link if
 2. Linked sets share a token among the first |x| - ceil(percent * |x|) + 1 of
    each. Prefix tokens that two sets share make both candidates.
 3. Candidates are partitioned into groups of about ``GROUP``: a set joins the
-   group of its least shared token, so that similar sets come together. The
-   token-group matrix says which groups hold a prefix token; a set is a query
-   of each group that holds one of its own.
+   group of its least shared token and of its size, so that similar sets come
+   together. The token-group matrix says which groups hold a prefix token. Sets
+   x and y that link share o = ceil(percent (|x| + |y|) / (100 + percent))
+   tokens, hence o - ceil(percent max(|x|, |y|)) + 1 of their prefixes; a set is
+   a query of the groups that hold as many of its prefix tokens as any of the
+   group's sizes needs.
 4. A task per group (queries dealt further if there are many) stores the union
    of its members' tokens. A query that has fewer tokens in the union than any
    link needs does not open the group; the others are counted against all
@@ -39,6 +42,8 @@ from .components import components
 GROUP = 256
 FREQUENT = 1 << 17
 QUERIES = 2048
+#: Size classes for each factor e of the set size.
+BANDS = 50
 NO_ID = -(1 << 63)
 
 _P = np.uint64(1099511628211)
@@ -214,17 +219,23 @@ def join(df: DataFrame, n: int = 3, percent: int = 90, text: str = "text", key:
     by_token = Window.partitionBy("token")
     met = prefix.withColumns({"a": F.min(F.struct(*ids)).over(by_token), "z": F.max(F.struct(*ids)).over(by_token)}).where("a <> z").select("token", *ids, "n")
     met = materialize(met.distinct())
-    # tokens with the very same sets say the same: one of them stays
+    # tokens with the very same sets say the same: one of them stays, with their number
     alike = met.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64(*ids)).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), *ids)).alias("y"))
-    alike = alike.groupBy("m", "x", "y").agg(F.min("token").alias("token")).select("token")
+    alike = alike.groupBy("m", "x", "y").agg(F.min("token").alias("token"), F.count(F.lit(1)).alias("times")).select("token", "times")
     posted = materialize(met.join(alike, "token"))
 
-    home = posted.groupBy(*ids).agg(F.min("token").alias("g"))
+    home = posted.groupBy(*ids, "n").agg(F.min("token").alias("g")).withColumn("g", F.xxhash64("g", F.floor(F.log("n") * BANDS)))
     crowd = home.groupBy("g").agg(F.count(F.lit(1)).alias("c"))
-    home = materialize(home.join(crowd, "g").select(*ids, F.xxhash64("g", F.pmod(F.xxhash64(*ids), F.ceil(F.col("c") / group))).alias("g")))
-    matrix = posted.join(home, ids).groupBy("token", "g").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    fits = (F.col("hi") * 100 >= F.col("n") * percent) & (F.col("lo") * percent <= F.col("n") * 100)
-    ask = materialize(posted.join(matrix, "token").where(fits).select(*ids, "g").distinct())
+    home = materialize(home.join(crowd, "g").select(*ids, "n", F.xxhash64("g", F.pmod(F.xxhash64(*ids), F.ceil(F.col("c") / group))).alias("g")))
+    sizes = home.groupBy("g").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    seated = posted.join(home.select(*ids, "g"), ids)
+    matrix = seated.groupBy("token", "g").agg(F.count(F.lit(1)).alias("held")).withColumnRenamed("g", "to")
+    asked = seated.join(matrix, "token").where("g <> to or held > 1").groupBy(*ids, "n", "to").agg(F.sum("times").alias("both"))
+    asked = asked.withColumnRenamed("to", "g").join(sizes, "g")
+    least = F.greatest(F.col("lo"), F.ceil(F.col("n") * percent / 100.0))
+    most = F.least(F.col("hi"), F.floor(F.col("n") * 100.0 / percent))
+    both = lambda y: F.ceil((F.col("n") + y) * percent / (100.0 + percent)) - F.ceil(F.greatest(F.col("n").cast("long"), y) * percent / 100.0)
+    ask = materialize(asked.where(least <= most).where(F.col("both") >= F.least(both(least) + 1, both(most))).select(*ids, "g"))
 
     crowd = ask.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / QUERIES).alias("c"))
     asking = ask.join(crowd, "g").select("g", F.pmod(F.xxhash64(*ids), F.col("c")).alias("part"), F.lit(1).alias("query"), *ids)
