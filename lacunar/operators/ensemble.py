@@ -71,8 +71,10 @@ def branches(nodes: DataFrame) -> DataFrame:
 
 def forest_scores(points: DataFrame, nodes: DataFrame, size: int, share: float = 0.1) -> DataFrame:
     """(id, raw, score, pred): 2^(-mean path / c(size)), scaled, labelled by contamination."""
-    pdf = nodes.toPandas().sort_values(["tree_id", "node_id"])  # at most 2 * size nodes a tree
-    trees = [[tuple(None if v is None or (np.isscalar(v) and pd.isna(v)) else v for v in r) for r in t[["node_id", "left", "right", "normal", "point", "size", "depth"]].itertuples(index=False)] for _, t in pdf.groupby("tree_id")]
+    grown: dict[int, list[tuple]] = {}
+    for r in nodes.orderBy("tree_id", "node_id").collect():  # at most 2 * size nodes a tree
+        grown.setdefault(r["tree_id"], []).append((r["node_id"], r["left"], r["right"], r["normal"], r["point"], r["size"], r["depth"]))
+    trees = list(grown.values())
     shared = points.sparkSession.sparkContext.broadcast(trees)
     c = numeric.c_factor(size)
 
