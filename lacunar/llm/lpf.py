@@ -217,7 +217,7 @@ def _ddl(s: pa.Schema) -> str:
 def cut(df: DataFrame, text: str = "text", key: str = "doc_id", length: int = LENGTH) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row of df."""
     docs = df.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("o"), F.col(text).cast("binary").alias("t"))
-    n = parts(df.select(key, text), BUCKET_MB)
+    n = parts(df, BUCKET_MB)
     ranges = 4 * n
     docs = docs.withColumn("th", F.xxhash64("t")).withColumn("b", F.pmod(F.xxhash64("o", "th"), F.lit(n)).cast("int"))
 
