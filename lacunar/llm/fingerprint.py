@@ -79,7 +79,7 @@ def edited_pairs(df: DataFrame, text: str = "text", key: str = "doc_id", per_par
     streams its sorted range always holds the next document.
     """
     docs = df.select(F.coalesce(F.col(key).cast("long"), F.lit(LEAST)).alias("o"), F.col(text).alias("t"))
-    n = parts(df.select(key, text), per_part_mb)
+    n = parts(df, per_part_mb)
     splits = np.array(_splits(docs.select("o"), 8 * n), np.int64)
     count = len(splits)
     before = {int(s): (k - 1) % count for k, s in enumerate(splits)}
