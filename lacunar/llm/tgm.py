@@ -4,9 +4,11 @@ A document's set holds its distinct word shingles as 64-bit hashes; documents
 with one set (128-bit hash of it) are one node from the start. Two sets link if
 100 * intersection >= ``percent`` * union.
 
-1. Tokens are ordered: those that batches of documents saw most often (at most
-   ``FREQUENT`` of them, counted over all documents) last, the rest by hash. Any
-   order is right; this one keeps common passages out of the way.
+1. Tokens are ordered by the number of sets that hold them, ties by hash, so
+   that common passages come last. Distinct sets are dealt over buckets by their
+   hash; a bucket sends each of its tokens once, as 32 bits within one of many
+   ranges, and gets back those that other sets hold too, with their number. (Two
+   tokens of one code count as one here, which only costs order.)
 2. Linked sets share a token among the first |x| - ceil(percent * |x|) + 1 of
    each. Prefix tokens that two sets share make both candidates.
 3. Candidates are partitioned into groups of about ``GROUP``: a set joins the
@@ -33,14 +35,15 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, parts
 from .components import components
+from .lpf import _ddl, _grouped, _pack, _table, _unpack
 
 GROUP = 256
-FREQUENT = 1 << 17
 QUERIES = 2048
 #: Size classes for each factor e of the set size.
 BANDS = 50
@@ -85,63 +88,99 @@ def _needed(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
-_META = "kind int, o long, th long, n long, h1 long, h2 long, token long, times long"
+BUCKET_MB = 8.0
+_SENT = pa.schema([("r", pa.int32()), ("b", pa.int32()), ("blob", pa.binary())])
+_BACK = pa.schema([("b", pa.int32()), ("r", pa.int32()), ("blob", pa.binary())])
+_MADE = "kind int, token long, h1 long, h2 long, n int, z binary"
 
 
-def _describe(n: int, top: int):
-    def run(batches):
-        for b in batches:
-            sets = [shingle_set(x.as_py() or b"", n) for x in b.column(2)]
-            digest = [xxhash.xxh3_128(s.tobytes()).digest() for s in sets]
-            ids = np.frombuffer(b"".join(digest), np.int64).reshape(-1, 2) if digest else np.zeros((0, 2), np.int64)
-            m = len(sets)
-            blank = pa.nulls(m, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int32)), b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids[:, 0].copy()), pa.array(ids[:, 1].copy()), blank, blank], [x.split()[0] for x in _META.split(", ")])
-            tokens, times = np.unique(np.concatenate(sets), return_counts=True) if m else (np.zeros(0, np.uint64),) * 2
-            often = np.flatnonzero(times > 2)
-            if len(often) > top:
-                often = often[np.argsort(-times[often], kind="stable")[:top]]
-            m = len(often)
-            blank = pa.nulls(m, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), blank, blank, blank, blank, blank, pa.array(tokens[often].view(np.int64)), pa.array(times[often].astype(np.int64))], [x.split()[0] for x in _META.split(", ")])
+def _digest(s: np.ndarray) -> tuple[int, int]:
+    a, z = np.frombuffer(xxhash.xxh3_128(s.tobytes()).digest(), np.int64).tolist()
+    return a, z
 
-    return run
 
+def _codes(tokens: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray]:
+    """Range and code of each token."""
+    return (tokens >> np.uint64(32)) % np.uint64(ranges), tokens & np.uint64(0xFFFFFFFF)
 
-def _prefixes(n: int, percent: int, shared):
-    """Prefix tokens of each distinct set of a task."""
 
-    def run(batches):
-        seen: set[bytes] = set()
-        frequent = shared.value
-        for b in batches:
-            tokens, h1, h2, sizes = [], [], [], []
-            for x in b.column(0):
-                s = shingle_set(x.as_py() or b"", n)
-                if not len(s):
-                    continue
-                d = xxhash.xxh3_128(s.tobytes()).digest()
-                if d in seen:
-                    continue
-                if len(seen) < 1_000_000:
-                    seen.add(d)
-                at = np.searchsorted(frequent[0], s)
-                rank = np.where(frequent[0][np.minimum(at, len(frequent[0]) - 1)] == s, frequent[1][np.minimum(at, len(frequent[0]) - 1)], 0) if len(frequent[0]) else np.zeros(len(s))
-                p = len(s) - _needed(len(s), percent) + 1
-                first = s[np.argsort(rank, kind="stable")[:p]]
-                tokens.append(first)
-                a, z = np.frombuffer(d, np.int64)
-                h1.append(np.full(p, a))
-                h2.append(np.full(p, z))
-                sizes.append(np.full(p, len(s)))
-            if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(h1)), pa.array(np.concatenate(h2)), pa.array(np.concatenate(sizes).astype(np.int32))], ["token", "h1", "h2", "n"])
+class _Sets:
+    """The distinct sets of a bucket."""
+
+    def __init__(self, t: pa.Table, n: int):
+        unzip, seen = zstandard.ZstdDecompressor(), {}
+        for a, c, z in zip(t["h1"].to_pylist(), t["h2"].to_pylist(), t["z"].to_pylist(), strict=True):
+            seen.setdefault((a, c), z)
+        self.ids = sorted(seen)
+        self.zips = [seen[i] for i in self.ids]
+        self.sets = [shingle_set(unzip.decompress(z), n) for z in self.zips]
+
+
+def _send(n: int, ranges: int):
+    def run(t: pa.Table) -> pa.Table:
+        tokens, times = np.unique(np.concatenate(_Sets(t, n).sets), return_counts=True)
+        r, code = _codes(tokens, ranges)
+        rows = []
+        for k, i in _grouped(r.astype(np.int64)):
+            order = i[np.lexsort((code[i], times[i]))]
+            c, m = code[order].astype(np.uint32), times[order]
+            once = int(np.searchsorted(m, 2))
+            rows.append((k, t["b"][0].as_py(), _pack(np.diff(c[:once], prepend=np.uint32(0)), c[once:], m[once:].astype(np.uint32))))
+        return _table(rows, _SENT)
+
+    return run
+
+
+def _meet(t: pa.Table) -> pa.Table:
+    codes, times, who = [], [], []
+    for b, blob in zip(t["b"].to_pylist(), t["blob"].to_pylist(), strict=True):
+        once, c, m = _unpack(blob, np.uint32, np.uint32, np.uint32)
+        codes += [np.cumsum(once, dtype=np.uint32), c]
+        times += [np.ones(len(once), np.int64), m.astype(np.int64)]
+        who.append(np.full(len(once) + len(c), b))
+    codes, times, who = (np.concatenate(x) for x in (codes, times, who))
+    order = np.argsort(codes, kind="stable")
+    c, b = codes[order], who[order]
+    cut = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]])) if len(c) else np.zeros(0, np.int64)
+    total = np.repeat(np.add.reduceat(times[order], cut), np.diff(np.append(cut, len(c)))) if len(c) else times
+    shared = np.flatnonzero(total > 1)
+    r = t["r"][0].as_py()
+    return _table([(k, r, _pack(c[shared[i]], total[shared[i]].astype(np.uint32))) for k, i in _grouped(b[shared])], _BACK)
+
+
+def _prefixes(n: int, percent: int, ranges: int):
+    """Shared prefix tokens of the distinct sets of a bucket, and the texts of sets that have any."""
+
+    def run(t: pa.Table, d: pa.Table) -> pa.Table:
+        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+        names = [x.split()[0] for x in _MADE.split(", ")]
+        empty = pa.Table.from_arrays([pa.array([], k) for k in kinds], names)
+        if not t.num_rows or not d.num_rows:
+            return empty
+        found = [(np.uint64(r), *_unpack(x, np.uint32, np.uint32)) for r, x in zip(d["r"].to_pylist(), d["blob"].to_pylist(), strict=True)]
+        key = np.concatenate([r << np.uint64(32) | c.astype(np.uint64) for r, c, _ in found])
+        held = np.concatenate([m for _, _, m in found])
+        order = np.argsort(key)
+        key, held = key[order], held[order]
+        here, out = _Sets(t, n), [empty]
+        for (h1, h2), z, s in zip(here.ids, here.zips, here.sets, strict=True):
+            r, code = _codes(s, ranges)
+            k = r << np.uint64(32) | code
+            at = np.minimum(np.searchsorted(key, k), len(key) - 1)
+            rank = np.where(key[at] == k, held[at], 0)
+            p = len(s) - _needed(len(s), percent) + 1
+            first = np.argsort(rank, kind="stable")[:p]
+            tokens = s[first[rank[first] > 0]].view(np.int64)
+            if m := len(tokens):
+                ids = [np.full(m + 1, x) for x in (h1, h2)]
+                out.append(pa.Table.from_arrays([pa.array([0] * m + [1], pa.int32()), pa.array([*tokens.tolist(), None], pa.int64()), *map(pa.array, ids), pa.array(np.full(m + 1, len(s)), pa.int32()), pa.array([None] * m + [z], pa.binary())], names))
+        return pa.concat_tables(out).combine_chunks()
 
     return run
 
 
 def _open(n: int, percent: int):
-    """Rows (g, part, query, o, t) sorted by group, part and role: links (a, b) of each."""
+    """Rows (g, part, query, o, z) sorted by group, part and role: links (a, b) of each."""
 
     def links(members: list[tuple[int, np.ndarray]], queries):
         tokens = np.concatenate([s for _, s in members])
@@ -186,11 +225,12 @@ def _open(n: int, percent: int):
             if members and queries:
                 out.extend(links(members, queries))
 
-        for g, part, query, o, t in rows():
+        unzip = zstandard.ZstdDecompressor()
+        for g, part, query, o, z in rows():
             if (g, part) != key:
                 flush()
                 key, members, queries = (g, part), [], []
-            (queries if query else members).append((o, shingle_set(t or b"", n)))
+            (queries if query else members).append((o, shingle_set(unzip.decompress(z), n)))
             if len(queries) >= 64:  # queries stream past the members
                 flush()
                 queries = []
@@ -205,20 +245,38 @@ def _open(n: int, percent: int):
 
 def join(df: DataFrame, n: int = 3, percent: int = 90, text: str = "text", key: str = "doc_id", group: int = GROUP) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of df."""
-    spark = df.sparkSession
-    docs = df.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("o"), F.col(text).cast("binary").alias("t")).withColumn("th", F.xxhash64("t"))
-    meta = materialize(docs.select("o", "th", "t").mapInArrow(_describe(n, FREQUENT), _META))
-    nodes = meta.where("kind = 0").select("o", "th", "n", "h1", "h2")
-    top = meta.where("kind = 1").groupBy("token").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "token").limit(FREQUENT).toArrow()  # FREQUENT rows at most
-    tokens = top["token"].to_numpy().view(np.uint64)
-    order = np.argsort(tokens)
-    frequent = spark.sparkContext.broadcast((tokens[order], top["times"].to_numpy()[order]))
+    docs = df.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("o"), F.col(text).cast("binary").alias("t"))
+    buckets = parts(df, BUCKET_MB)
+    ranges = 4 * buckets
+
+    def describe(batches):
+        for b in batches:
+            sets = [shingle_set(x.as_py() or b"", n) for x in b.column(1)]
+            h = [_digest(s) for s in sets]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([x for x, _ in h], pa.int64()), pa.array([x for _, x in h], pa.int64())], ["o", "n", "h1", "h2"])
+
+    def zipped(batches):
+        z, seen = zstandard.ZstdCompressor(3), set()
+        for batch in batches:
+            rows = []
+            for x in batch.column(0):
+                t = x.as_py() or b""
+                s = shingle_set(t, n)
+                if len(s) and (h := _digest(s)) not in seen:  # copies in one task go once
+                    if len(seen) < 1_000_000:
+                        seen.add(h)
+                    rows.append((h[0] % buckets, *h, z.compress(t)))
+            cols = list(zip(*rows, strict=True)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["b", "h1", "h2", "z"])
 
     ids = ["h1", "h2"]
-    prefix = docs.select("t").mapInArrow(_prefixes(n, percent, frequent), "token long, h1 long, h2 long, n int")
+    nodes = materialize(docs.mapInArrow(describe, "o long, n long, h1 long, h2 long"))
+    dealt = docs.select("t").mapInArrow(zipped, "b int, h1 long, h2 long, z binary").repartition(buckets, "b")
+    back = dealt.groupBy("b").applyInArrow(_send(n, ranges), _ddl(_SENT)).repartition(ranges, "r").groupBy("r").applyInArrow(_meet, _ddl(_BACK))
+    made = materialize(dealt.groupBy("b").cogroup(back.groupBy("b")).applyInArrow(_prefixes(n, percent, ranges), _MADE))
     by_token = Window.partitionBy("token")
-    met = prefix.withColumns({"a": F.min(F.struct(*ids)).over(by_token), "z": F.max(F.struct(*ids)).over(by_token)}).where("a <> z").select("token", *ids, "n")
-    met = materialize(met.distinct())
+    met = made.where("kind = 0").withColumns({"a": F.min(F.struct(*ids)).over(by_token), "y": F.max(F.struct(*ids)).over(by_token)}).where("a <> y").select("token", *ids, "n")
+    met = materialize(met)
     # tokens with the very same sets say the same: one of them stays, with their number
     alike = met.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64(*ids)).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), *ids)).alias("y"))
     alike = alike.groupBy("m", "x", "y").agg(F.min("token").alias("token"), F.count(F.lit(1)).alias("times")).select("token", "times")
@@ -240,10 +298,9 @@ def join(df: DataFrame, n: int = 3, percent: int = 90, text: str = "text", key:
     crowd = ask.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / QUERIES).alias("c"))
     asking = ask.join(crowd, "g").select("g", F.pmod(F.xxhash64(*ids), F.col("c")).alias("part"), F.lit(1).alias("query"), *ids)
     living = home.join(crowd, "g").select("g", F.explode(F.sequence(F.lit(0).cast("long"), F.col("c") - 1)).alias("part"), F.lit(0).alias("query"), *ids)
-    first = nodes.where("n > 0").groupBy(*ids).agg(F.min(F.struct("o", "th")).alias("f")).select(*ids, F.col("f.o").alias("node"), F.col("f.th").alias("th"))
-    seats = asking.unionByName(living).join(first, ids).select(F.col("node").alias("o"), "th", "g", "part", "query")
-    seated = docs.join(seats, ["o", "th"]).select("g", "part", "query", "o", "t")
-    dealt = seated.repartition(parts(docs, 16.0), "g", "part").sortWithinPartitions("g", "part", "query", "o")
+    first = nodes.where("n > 0").groupBy(*ids).agg(F.min("o").alias("node"))
+    seats = asking.unionByName(living).join(first, ids).join(made.where("kind = 1").select(*ids, "z"), ids)
+    dealt = seats.select("g", "part", "query", F.col("node").alias("o"), "z").repartition(parts(df, 16.0), "g", "part").sortWithinPartitions("g", "part", "query", "o")
     edges = dealt.mapInArrow(_open(n, percent), "a long, b long")
 
     found = components(edges).withColumnRenamed("node", "_node")
