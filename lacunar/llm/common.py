@@ -59,9 +59,16 @@ def _clean() -> None:
 
 
 def parts(df: DataFrame, per_part_mb: float = 16.0, least: int = 8) -> int:
-    """A partition count in proportion to the size that Spark estimates for df."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(least, min(20_000, math.ceil(size / (per_part_mb * 1e6))))
+    """A partition count in proportion to the files that df is read from.
+
+    Where a source has no known size, the session's shuffle partitions.
+    """
+    plan = df._jdf.queryExecution().optimizedPlan()
+    leaves = plan.collectLeaves()
+    sizes = [int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size())]
+    if not sizes or max(sizes) >= 1 << 60:
+        return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, min(20_000, math.ceil(sum(sizes) / (per_part_mb * 1e6))))
 
 
 def crc_mod(doc_id: str | Column, k: int) -> Column:

@@ -181,7 +181,9 @@ def _range(h: np.ndarray, n: int) -> np.ndarray:
 
 def _grouped(r: np.ndarray):
     order = np.argsort(r, kind="stable")
-    cut = np.flatnonzero(np.concatenate([[True], r[order][1:] != r[order][:-1]])) if len(r) else []
+    if not len(r):
+        return
+    cut = np.flatnonzero(np.concatenate([[True], r[order][1:] != r[order][:-1]]))
     for a, z in zip(cut, [*cut[1:], len(r)], strict=True):
         yield int(r[order[a]]), order[a:z]
 
@@ -334,7 +336,7 @@ def cut(df: DataFrame, text: str = "text", key: str = "doc_id", length: int = LE
         order = np.lexsort((a, tie, o))
         o, tie, a, z = o[order], tie[order], a[order], z[order]
         new = np.flatnonzero(np.concatenate([[True], (o[1:] != o[:-1]) | (tie[1:] != tie[:-1])])) if len(o) else np.zeros(0, np.int64)
-        place = {(int(o[i]), int(tie[i])): (i, j) for i, j in zip(new.tolist(), [*new[1:].tolist(), len(o)], strict=True)}
+        place = {(int(o[i]), int(tie[i])): (i, j) for i, j in zip(new.tolist(), [*new[1:].tolist(), len(o)], strict=True)} if len(o) else {}
         rows = []
         for k, x in enumerate(bucket.texts):
             gone = spans = 0
