@@ -30,9 +30,10 @@ SIZE = 2048
 #: Pieces that one partition packs, and the bins that it may release a round.
 PARTITION = 40_000
 RELEASE = 64
-#: Bytes of text tokenised at once, and the words a worker remembers (of each kind).
-CHUNK = 8_000_000
-MEMORY = 500_000
+#: Bytes of text tokenised at once; the lower-cased words, and words as written,
+#: that a worker remembers: the first it meets, which are the frequent ones.
+CHUNK = 4_000_000
+KNOWN, SEEN = 600_000, 150_000
 
 
 class Words:
@@ -62,8 +63,9 @@ class Words:
     def _one(self, words: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(words, add_special_tokens=False)]
 
-    def _learn(self, stems: list[str]) -> None:
+    def _learn(self, stems: list[str]) -> dict[str, bytes]:
         """Ids of runs of letters: many in one call, cut after each closing token."""
+        out: dict[str, bytes] = {}
         for k in range(0, len(stems), 1000):
             some = stems[k : k + 1000]
             ids = np.array(self.tok.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
@@ -71,10 +73,11 @@ class Words:
             if len(cuts) == len(some):
                 data, a = ids.tobytes(), 0
                 for s, z in zip(some, cuts.tolist(), strict=True):
-                    self.known[s] = data[4 * a : 4 * z]
+                    out[s] = data[4 * a : 4 * z]
                     a = z
             else:
-                self.known.update(zip(some, self._one(some), strict=True))
+                out.update(zip(some, self._one(some), strict=True))
+        return out
 
     def ids(self, words: list[str]) -> list[bytes]:
         seen = self.seen
@@ -82,24 +85,30 @@ class Words:
         new = [w for w, x in zip(words, out, strict=True) if x is None]
         if new:
             found = dict(zip(new, self._new(new), strict=True))
-            if len(seen) + len(found) > MEMORY:
-                seen.clear()
-            seen.update(found)
+            if len(seen) < SEEN:
+                seen.update(found)
             out = [found[w] if x is None else x for w, x in zip(words, out, strict=True)]
         return out
 
     def _new(self, words: list[str]) -> list[bytes]:
-        known, stems = self.known, []
+        known, dot, stems = self.known, self.dot, []
         for w in words:
-            s = w[:-1] if w[-1] in ".," and len(w) > 1 else w
-            # the tokenizer lower-cases letter by letter, without final sigma
-            stems.append(s.lower() if s.isalpha() and "\u03a3" not in s and s.lower().isalpha() else None)
-        if len(known) + len(words) > MEMORY:
-            known.clear()
-        self._learn(list(dict.fromkeys(s for s in stems if s is not None and s not in known)))
+            s = w[:-1] if w[-1] in dot and len(w) > 1 else w
+            if not s.isalpha():
+                s = None
+            else:
+                s = s.lower()
+                # the tokenizer lower-cases letter by letter, without final sigma
+                if not s.isascii() and ("\u03c2" in s or not s.isalpha()):
+                    s = None
+            stems.append(s)
+        fresh = self._learn(list(dict.fromkeys(s for s in stems if s is not None and s not in known)))
+        if len(known) < KNOWN:
+            known.update(fresh)
+        elif fresh:
+            known = {s: known[s] for s in stems if s in known} | fresh
         odd = [w for w, s in zip(words, stems, strict=True) if s is None]
         odd = dict(zip(odd, self._one(odd), strict=True))
-        dot = self.dot
         return [odd[w] if s is None else known[s] if w[-1] not in dot else known[s] + dot[w[-1]] for w, s in zip(words, stems, strict=True)]
 
     def documents(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -111,16 +120,25 @@ class Words:
         offsets = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int32)
         words = pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(data[~space])).dictionary_encode()
         flat = [*self.ids(words.dictionary.to_pylist()), self.end]
-        index = words.indices.to_numpy(zero_copy_only=False)
-        doc_ends = np.cumsum([len(t) + 1 for t in texts])
-        index = np.insert(index, np.searchsorted(starts, doc_ends), len(flat) - 1)
-        sizes = np.array([len(x) // 4 for x in flat])
+        at = np.searchsorted(starts, np.cumsum([len(t) + 1 for t in texts]))
+        index = np.insert(words.indices.to_numpy(zero_copy_only=False), at, len(flat) - 1)
+        sizes = np.array([len(x) // 4 for x in flat], np.int32)
         pool = np.frombuffer(b"".join(flat), "<u4")
         n = sizes[index]
-        upto = np.cumsum(n)
-        ids = pool[np.repeat((np.cumsum(sizes) - sizes)[index] - upto + n, n) + np.arange(upto[-1] if len(upto) else 0)]
-        closing = np.searchsorted(starts, doc_ends) + np.arange(len(texts))
-        return ids, np.concatenate([[0], upto[closing]])
+        upto = np.cumsum(n, dtype=np.int32)
+        where = np.repeat((np.cumsum(sizes, dtype=np.int32) - sizes)[index] - upto + n, n)
+        where += np.arange(len(where), dtype=np.int32)
+        return pool[where], np.concatenate([[0], upto[at + np.arange(len(texts))]])
+
+
+_words: dict[str, Words] = {}
+
+
+def words_of(path: str) -> Words:
+    """The worker's own Words, kept from task to task; what it remembers is bounded."""
+    if path not in _words:
+        _words[path] = Words(path)
+    return _words[path]
 
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -130,7 +148,7 @@ def pieces(df: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id
     """The pieces of every whole text, in one narrow pass. tokenizer: a file's path."""
 
     def run(batches):
-        words = Words(tokenizer)
+        words = words_of(tokenizer)
         for b in batches:
             keys, rows, k = b.column(0).to_pylist(), [], 0
             for part in chunked([x or b"" for x in b.column(1).to_pylist()], CHUNK):
@@ -198,9 +216,10 @@ def _packer(size: int, base: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        t = pa.Table.from_batches(list(batches))  # about PARTITION pieces
-        if not t.num_rows:
+        found = list(batches)  # about PARTITION pieces
+        if not sum(b.num_rows for b in found):
             return
+        t = pa.Table.from_batches(found)
         t = t.sort_by([(c, "ascending") for c in ("length", "doc_id", "piece", "ids_crc32", "start")])
         n = t["length"].to_pylist()
         where, bins = best_fit(n, size)
