@@ -11,7 +11,7 @@ with one set (128-bit hash of it) are one node from the start. Two sets link if
    tokens of one code count as one here, which only costs order.)
 2. Linked sets share a token among the first |x| - ceil(percent * |x|) + 1 of
    each. Prefix tokens that two sets share make both candidates.
-3. Candidates are partitioned into groups of about ``GROUP``: a set joins the
+3. Candidates are partitioned into groups of about ``GROUP`` tokens: a set joins the
    group of its least shared token and of its size, so that similar sets come
    together. The token-group matrix says which groups hold a prefix token. Sets
    x and y that link share o = ceil(percent (|x| + |y|) / (100 + percent))
@@ -43,7 +43,8 @@ from .common import materialize, parts
 from .components import components
 from .lpf import _ddl, _grouped, _pack, _table, _unpack
 
-GROUP = 256
+#: Tokens of all members of a group, about.
+GROUP = 1 << 20
 QUERIES = 2048
 #: Size classes for each factor e of the set size.
 BANDS = 50
@@ -182,63 +183,62 @@ def _prefixes(n: int, percent: int, ranges: int):
 def _open(n: int, percent: int):
     """Rows (g, part, query, o, z) sorted by group, part and role: links (a, b) of each."""
 
-    def links(members: list[tuple[int, np.ndarray]], queries):
-        tokens = np.concatenate([s for _, s in members])
-        owner = np.repeat(np.arange(len(members)), [len(s) for _, s in members])
-        order = np.argsort(tokens, kind="stable")
-        tokens, owner = tokens[order], owner[order]
-        union, start = np.unique(tokens, return_index=True)
-        end = np.append(start[1:], len(tokens))
-        ids = np.array([o for o, _ in members])
-        sizes = np.array([len(s) for _, s in members])
-        root: dict[int, int] = {}
-
-        def find(x):
+    class Group:
+        def __init__(self, members: list[tuple[int, np.ndarray]]):
+            tokens = np.concatenate([s for _, s in members])
+            order = np.argsort(tokens, kind="stable")
+            self.owner = np.repeat(np.arange(len(members)), [len(s) for _, s in members])[order]
+            self.union, self.start = np.unique(tokens[order], return_index=True)
+            self.end = np.append(self.start[1:], len(tokens))
+            self.ids = np.array([o for o, _ in members])
+            self.sizes = np.array([len(s) for _, s in members])
+            self.root: dict[int, int] = {}
+
+        def find(self, x: int) -> int:
+            root = self.root
             while root.setdefault(x, x) != x:
                 root[x] = root[root[x]]
                 x = root[x]
             return x
 
-        for o, s in queries:
-            at = np.searchsorted(union, s)
-            at = at[(at < len(union)) & (union[np.minimum(at, len(union) - 1)] == s)]
+        def links(self, o: int, s: np.ndarray):
+            at = np.searchsorted(self.union, s)
+            at = at[self.union[np.minimum(at, len(self.union) - 1)] == s]
             if len(at) < _needed(len(s), percent):
-                continue  # the bound: no member can link
-            size = end[at] - start[at]
-            where = np.repeat(start[at] - np.cumsum(size) + size, size) + np.arange(size.sum())
-            both = np.bincount(owner[where], minlength=len(members))
-            for k in np.flatnonzero(100 * both >= percent * (sizes + len(s) - both)):
-                a, b = find(o), find(int(ids[k]))
+                return  # the bound: no member can link
+            size = self.end[at] - self.start[at]
+            where = np.repeat(self.start[at] - np.cumsum(size) + size, size) + np.arange(size.sum())
+            both = np.bincount(self.owner[where], minlength=len(self.ids))
+            for k in np.flatnonzero(100 * both >= percent * (self.sizes + len(s) - both)):
+                a, b = self.find(o), self.find(int(self.ids[k]))
                 if a != b:
-                    root[a] = b
-                    yield o, int(ids[k])
+                    self.root[a] = b
+                    yield o, int(self.ids[k])
 
     def run(batches):
         def rows():
             for b in batches:
                 yield from zip(*(b.column(i).to_pylist() for i in range(5)), strict=True)
 
-        out: list[tuple[int, int]] = []
-        key, members, queries = None, [], []
-
-        def flush():
-            if members and queries:
-                out.extend(links(members, queries))
-
         unzip = zstandard.ZstdDecompressor()
-        for g, part, query, o, z in rows():
+        out: list[tuple[int, int]] = []
+        key, members, group = None, [], None
+        batch = lambda: pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["a", "b"])
+        for g, part, query, o, z in rows():  # members come before the queries
             if (g, part) != key:
-                flush()
-                key, members, queries = (g, part), [], []
-            (queries if query else members).append((o, shingle_set(unzip.decompress(z), n)))
-            if len(queries) >= 64:  # queries stream past the members
-                flush()
-                queries = []
+                key, members, group = (g, part), [], None
+            s = shingle_set(unzip.decompress(z), n)
+            if not query:
+                members.append((o, s))
+                continue
+            if group is None and members:
+                group = Group(members)
+            if group is not None:
+                out.extend(group.links(o, s))
             if len(out) >= 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["a", "b"])
+                yield batch()
                 out = []
-        flush()
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["a", "b"])
+        yield batch()
 
     return run
 
@@ -283,7 +283,7 @@ def join(df: DataFrame, n: int = 3, percent: int = 90, text: str = "text", key:
     posted = materialize(met.join(alike, "token"))
 
     home = posted.groupBy(*ids, "n").agg(F.min("token").alias("g")).withColumn("g", F.xxhash64("g", F.floor(F.log("n") * BANDS)))
-    crowd = home.groupBy("g").agg(F.count(F.lit(1)).alias("c"))
+    crowd = home.groupBy("g").agg(F.sum("n").alias("c"))
     home = materialize(home.join(crowd, "g").select(*ids, "n", F.xxhash64("g", F.pmod(F.xxhash64(*ids), F.ceil(F.col("c") / group))).alias("g")))
     sizes = home.groupBy("g").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
     seated = posted.join(home.select(*ids, "g"), ids)
