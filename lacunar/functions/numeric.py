@@ -272,8 +272,9 @@ def ssad(k: np.ndarray, y: np.ndarray, kappa: float = 1.0, cp: float = 1.0, cu:
         """Nearest feasible point: two multipliers, the outer one by bisection."""
 
         def inner(mu: float) -> np.ndarray:
-            lo, hi = -1e4, 1e4
-            for _ in range(80):
+            hi = abs(v).max() + mu + cap.max() + 1.0
+            lo = -hi
+            for _ in range(45):
                 lam = (lo + hi) / 2
                 a = np.clip(v + lam * cy + mu * cl, 0, cap)
                 lo, hi = (lam, hi) if cy @ a < 1 else (lo, lam)
@@ -282,8 +283,8 @@ def ssad(k: np.ndarray, y: np.ndarray, kappa: float = 1.0, cp: float = 1.0, cu:
         a = inner(0.0)
         if cl @ a >= kappa - 1e-9:
             return a
-        lo, hi = 0.0, 1e4
-        for _ in range(60):
+        lo, hi = 0.0, 2 * (abs(v).max() + cap.max() + 1.0)
+        for _ in range(35):
             mu = (lo + hi) / 2
             lo, hi = (mu, hi) if cl @ inner(mu) < kappa else (lo, mu)
         return inner(hi)

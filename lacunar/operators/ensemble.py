@@ -274,6 +274,7 @@ def ssdo(points: DataFrame, clusters: int = 10, alpha: float = 2.3, k: int = 30,
         first = minmax(prior.select("id", F.col("score").alias("prior")), ["prior"], [])
     else:
         raise ValueError("base is ssdo, IF or other")
+    first = first.cache()  # (id, prior), read three times
     ranked = contamination(first, share, [], "prior")
     gamma = ranked.where("pred = 1").agg(F.min("prior").alias("g"))  # the value at the contamination's position
     prior_ = first.crossJoin(F.broadcast(gamma)).select("id", (1 - F.pow(F.lit(2.0), -F.pow(F.col("prior") / (F.col("g") + tol), F.lit(2.0)))).alias("prior"))

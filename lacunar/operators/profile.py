@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scores import contamination, minmax
-from .series import BY, ahead
+from .series import ahead
 
 
 def rolling_stats(df: DataFrame, m: int, ddof: int = 1) -> DataFrame:
@@ -86,4 +86,4 @@ def concatenate(train: DataFrame, test: DataFrame) -> DataFrame:
     return train.withColumn("part", F.lit(0)).unionByName(later.withColumn("part", F.lit(1)))
 
 
-__all__ = ["BY", "concatenate", "discords", "distance_profile", "matrix_profile", "pairs", "rolling_stats"]
+__all__ = ["concatenate", "discords", "distance_profile", "matrix_profile", "pairs", "rolling_stats"]

@@ -10,12 +10,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BY = Window.partitionBy("series_id").orderBy("idx")
+def along():
+    """Each series in order."""
+    return Window.partitionBy("series_id").orderBy("idx")
 
 
 def ahead(w: int):
     """Frame of a segment of w values that starts at the row."""
-    return BY.rowsBetween(0, w - 1)
+    return along().rowsBetween(0, w - 1)
 
 
 def index(df: DataFrame, order: str = "ts") -> DataFrame:
@@ -28,7 +30,7 @@ def pattern_ranges(df: DataFrame, flag: Column | str = "y", compat: bool = False
     compat: a run of one value at the very end of the runs is lost if it is not the only one.
     """
     flag = F.col(flag) if isinstance(flag, str) else flag
-    ones = df.where(flag == 1).select("series_id", "idx").withColumn("grp", F.col("idx") - F.row_number().over(BY))
+    ones = df.where(flag == 1).select("series_id", "idx").withColumn("grp", F.col("idx") - F.row_number().over(along()))
     runs = ones.groupBy("series_id", "grp").agg(F.min("idx").alias("b"), F.max("idx").alias("e"))
     by = Window.partitionBy("series_id").orderBy("b")
     runs = runs.withColumn("range_id", (F.row_number().over(by) - 1).cast("long"))
@@ -101,7 +103,7 @@ def shifted_support(df: DataFrame, w: int, col: str = "y") -> DataFrame:
     """
     if w < 2:
         raise ValueError("w is 2 or more")
-    frame = BY.rowsBetween(-(w - 1), 0) if w % 2 == 0 else BY.rowsBetween(-(w - 2), 1)
+    frame = along().rowsBetween(-(w - 1), 0) if w % 2 == 0 else along().rowsBetween(-(w - 2), 1)
     last = F.col("idx") == F.max("idx").over(Window.partitionBy("series_id"))
     out = (F.col("idx") < 2 * (w // 2) - 1) | (last if w % 2 else F.lit(False))
     return df.withColumn("support", F.when(out, 0.0).otherwise(F.sum(F.col(col).cast("double")).over(frame)))
@@ -139,13 +141,13 @@ def on_spine(df: DataFrame, found: DataFrame, name: str, col: str = "idx", shift
 
 
 def month_counter(df: DataFrame) -> DataFrame:
-    step = F.when(F.lag(F.month("ts")).over(BY) != F.month("ts"), 1).otherwise(0)
-    return df.withColumn("_step", step).withColumn("month", F.sum("_step").over(BY)).drop("_step")
+    step = F.when(F.lag(F.month("ts")).over(along()) != F.month("ts"), 1).otherwise(0)
+    return df.withColumn("_step", step).withColumn("month", F.sum("_step").over(along())).drop("_step")
 
 
 def support_with_reset(df: DataFrame, col: str = "y") -> DataFrame:
     """Adds support: the running sum of the flag, which begins anew after each 0."""
-    island = F.sum(F.when(F.col(col) == 0, 1).otherwise(0)).over(BY)
+    island = F.sum(F.when(F.col(col) == 0, 1).otherwise(0)).over(along())
     by = Window.partitionBy("series_id", "_island").orderBy("idx")
     return df.withColumn("_island", island).withColumn("support", F.sum(col).over(by)).drop("_island")
 
@@ -160,23 +162,23 @@ def repair(found: DataFrame, labelled: DataFrame) -> DataFrame:
 
 def last_event(df: DataFrame, loc: str = "loc") -> DataFrame:
     """Adds last (position of the last event, 0 before the first), gap and usage since then."""
-    last = F.coalesce(F.max(F.when(F.col(loc) == 1, F.col("idx"))).over(BY), F.lit(0))
+    last = F.coalesce(F.max(F.when(F.col(loc) == 1, F.col("idx"))).over(along()), F.lit(0))
     before = Window.partitionBy("series_id", "last_before").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
     df = df.withColumn("last", last).withColumn("gap", F.col("idx") - F.col("last"))
     return df.withColumn("last_before", F.col("last")).withColumn("usage", F.coalesce(F.sum("value").over(before), F.lit(0.0))).drop("last_before")
 
 
 def first_of_run(df: DataFrame, flag: str, name: str = "pred") -> DataFrame:
-    return df.withColumn(name, F.when((F.col(flag) == 1) & (F.coalesce(F.lag(flag).over(BY), F.lit(0)) == 0), 1).otherwise(0))
+    return df.withColumn(name, F.when((F.col(flag) == 1) & (F.coalesce(F.lag(flag).over(along()), F.lit(0)) == 0), 1).otherwise(0))
 
 
 def interarrival(events: DataFrame) -> DataFrame:
     """events (series_id, idx): adds the distance to the next one; the last has none."""
-    return events.withColumn("step", F.lead("idx").over(BY) - F.col("idx"))
+    return events.withColumn("step", F.lead("idx").over(along()) - F.col("idx"))
 
 
 def usage_between(df: DataFrame, loc: str = "loc") -> DataFrame:
     """(series_id, epoch, usage): sums of value from each event up to the next one."""
-    epoch = F.sum(F.col(loc)).over(BY)
+    epoch = F.sum(F.col(loc)).over(along())
     whole = df.withColumn("epoch", epoch).withColumn("_all", F.sum(loc).over(Window.partitionBy("series_id")))
     return whole.where((F.col("epoch") > 0) & (F.col("epoch") < F.col("_all"))).groupBy("series_id", "epoch").agg(F.sum("value").alias("usage"))

@@ -6,11 +6,15 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import numeric
 from ..operators import series
 
 
+VALUES = T.ArrayType(T.DoubleType())
+
+
 def active_energy(active: Column, sub3: Column) -> Column:
     """Watt-hours of a minute outside the third meter, in kilowatts again."""
     return (active * (1000.0 / 60.0) - sub3) * (60.0 / 1000.0)
@@ -150,14 +154,24 @@ def rescale(values: Column, bottom: Column | float, top: Column | float) -> Colu
     return F.transform(values, lambda x: F.when(hi > lo, lit(bottom) + (x - lo) / (hi - lo) * (lit(top) - lit(bottom))).otherwise(lit(bottom)))
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(VALUES)
 def fft_resample(values: pd.Series, n: pd.Series) -> pd.Series:
     return pd.Series([numeric.fft_resample(np.asarray(v, float), int(k)).tolist() for v, k in zip(values, n, strict=True)])
 
 
+@F.pandas_udf(VALUES)
+def _shaped(values: pd.Series, n: pd.Series, bottom: pd.Series, top: pd.Series) -> pd.Series:
+    out = []
+    for v, k, lo, hi in zip(values, n, bottom, top, strict=True):
+        x = numeric.fft_resample(np.asarray(v, float), int(k))
+        span = x.max() - x.min()
+        out.append((lo + (x - x.min()) / span * (hi - lo) if span > 0 else np.full(len(x), lo)).tolist())
+    return pd.Series(out)
+
+
 def make_patterns(df: DataFrame, classes: list[float], lengths: tuple[int, int], bottom: tuple[float, float], top: tuple[float, float], seed: str = "shape") -> DataFrame:
     """(class, k, shape): the rows of some classes, resampled and rescaled to lengths and ranges drawn by hash."""
     rows = df.where(F.col("class").isin(classes)).withColumn("k", F.md5(F.to_json(F.struct("class", "values")).cast("binary")))
     u = lambda tag, lo, hi: lo + hash_uniform(seed + tag, F.col("k")) * (hi - lo)
     n = F.floor(u("n", *map(float, lengths))).cast("int")
-    return rows.withColumn("shape", rescale(fft_resample("values", n), u("b", *bottom), u("t", *top))).select("class", "k", "shape")
+    return rows.withColumn("shape", _shaped("values", n, u("b", *bottom), u("t", *top))).select("class", "k", "shape")

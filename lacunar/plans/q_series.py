@@ -340,7 +340,7 @@ def _(spark, d):
 
 @query("win_6_cumulative_sum", f"{S}, total d", f"{SERIES} SELECT series_id, idx, sum(value) OVER ({BY} ROWS UNBOUNDED PRECEDING) AS total FROM series")
 def _(spark, d):
-    return hourly(spark, d).withColumn("total", F.sum("value").over(series.BY.rowsBetween(Window.unboundedPreceding, 0)))
+    return hourly(spark, d).withColumn("total", F.sum("value").over(series.along().rowsBetween(Window.unboundedPreceding, 0)))
 
 
 @query("win_7_first_of_run", f"{S}, pred i", f"{SERIES} SELECT series_id, idx, CASE WHEN y = 1 AND coalesce(lag(y) OVER ({BY}), 0) = 0 THEN 1 ELSE 0 END AS pred FROM series")
