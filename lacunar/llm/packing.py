@@ -135,7 +135,7 @@ _words: dict[str, Words] = {}
 
 
 def words_of(path: str) -> Words:
-    """The worker's own Words, kept from task to task; what it remembers is bounded."""
+    """The worker's own Words; a task forgets its words at the end, so that idle workers stay small."""
     if path not in _words:
         _words[path] = Words(path)
     return _words[path]
@@ -149,18 +149,22 @@ def pieces(df: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id
 
     def run(batches):
         words = words_of(tokenizer)
-        for b in batches:
-            keys, rows, k = b.column(0).to_pylist(), [], 0
-            for part in chunked([x or b"" for x in b.column(1).to_pylist()], CHUNK):
-                ids, at = words.documents(part)
-                data = memoryview(ids.astype("<u4").tobytes())
-                for a, z in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-                    for p, s in enumerate(range(a, z, size)):
-                        e = min(z, s + size)
-                        rows.append((keys[k], p, s - a, e - s, zlib.crc32(data[4 * s : 4 * e])))
-                    k += 1
-            cols = list(zip(*rows, strict=True)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], [x.split()[0] for x in PIECES.split(", ")])
+        try:
+            for b in batches:
+                keys, rows, k = b.column(0).to_pylist(), [], 0
+                for part in chunked([x or b"" for x in b.column(1).to_pylist()], CHUNK):
+                    ids, at = words.documents(part)
+                    data = memoryview(ids.astype("<u4").tobytes())
+                    for a, z in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                        for p, s in enumerate(range(a, z, size)):
+                            e = min(z, s + size)
+                            rows.append((keys[k], p, s - a, e - s, zlib.crc32(data[4 * s : 4 * e])))
+                        k += 1
+                cols = list(zip(*rows, strict=True)) or [[]] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], [x.split()[0] for x in PIECES.split(", ")])
+        finally:
+            words.known.clear()
+            words.seen.clear()
 
     return df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("t")).mapInArrow(run, PIECES)
 
