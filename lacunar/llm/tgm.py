@@ -12,8 +12,8 @@ with one set (128-bit hash of it) are one node from the start. Two sets link if
 2. Linked sets share a token among the first |x| - ceil(percent * |x|) + 1 of
    each. Prefix tokens that two sets share make both candidates.
 3. Candidates are partitioned into groups of about ``GROUP`` tokens: a set joins the
-   group of its least shared token and of its size, so that similar sets come
-   together. The token-group matrix says which groups hold a prefix token. Sets
+   group of its most shared prefix token and of its size, so that similar sets
+   come together. The token-group matrix says which groups hold a prefix token. Sets
    x and y that link share o = ceil(percent (|x| + |y|) / (100 + percent))
    tokens, hence o - ceil(percent max(|x|, |y|)) + 1 of their prefixes; a set is
    a query of the groups that hold as many of its prefix tokens as any of the
@@ -279,10 +279,10 @@ def join(df: DataFrame, n: int = 3, percent: int = 90, text: str = "text", key:
     met = materialize(met)
     # tokens with the very same sets say the same: one of them stays, with their number
     alike = met.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64(*ids)).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), *ids)).alias("y"))
-    alike = alike.groupBy("m", "x", "y").agg(F.min("token").alias("token"), F.count(F.lit(1)).alias("times")).select("token", "times")
+    alike = alike.groupBy("m", "x", "y").agg(F.min("token").alias("token"), F.count(F.lit(1)).alias("times")).select("token", "times", "m")
     posted = materialize(met.join(alike, "token"))
 
-    home = posted.groupBy(*ids, "n").agg(F.min("token").alias("g")).withColumn("g", F.xxhash64("g", F.floor(F.log("n") * BANDS)))
+    home = posted.groupBy(*ids, "n").agg(F.max(F.struct("m", "token"))["token"].alias("g")).withColumn("g", F.xxhash64("g", F.floor(F.log("n") * BANDS)))
     crowd = home.groupBy("g").agg(F.sum("n").alias("c"))
     home = materialize(home.join(crowd, "g").select(*ids, "n", F.xxhash64("g", F.pmod(F.xxhash64(*ids), F.ceil(F.col("c") / group))).alias("g")))
     sizes = home.groupBy("g").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
