@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,8 @@ RELEASE = 64
 #: that a worker remembers: the first it meets, which are the frequent ones.
 CHUNK = 4_000_000
 KNOWN, SEEN = 600_000, 150_000
+#: Of these, so many stay from one task to the next.
+KEPT = 150_000
 
 
 class Words:
@@ -79,6 +82,11 @@ class Words:
                 out.update(zip(some, self._one(some), strict=True))
         return out
 
+    def forget(self) -> None:
+        """Keeps the KEPT first words of each kind for the worker's next task."""
+        self.known = dict(islice(self.known.items(), KEPT))
+        self.seen = dict(islice(self.seen.items(), KEPT))
+
     def ids(self, words: list[str]) -> list[bytes]:
         seen = self.seen
         out = [seen.get(w) for w in words]
@@ -135,7 +143,7 @@ _words: dict[str, Words] = {}
 
 
 def words_of(path: str) -> Words:
-    """The worker's own Words; a task forgets its words at the end, so that idle workers stay small."""
+    """The worker's own Words; a task forgets most words at its end, so that idle workers stay small."""
     if path not in _words:
         _words[path] = Words(path)
     return _words[path]
@@ -163,8 +171,7 @@ def pieces(df: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id
                 cols = list(zip(*rows, strict=True)) or [[]] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], [x.split()[0] for x in PIECES.split(", ")])
         finally:
-            words.known.clear()
-            words.seen.clear()
+            words.forget()
 
     return df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("t")).mapInArrow(run, PIECES)
 
