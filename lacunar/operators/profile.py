@@ -73,9 +73,12 @@ def distance_profile(df: DataFrame, query: DataFrame, m: int, ddof: int = 1) ->
 
 
 def discords(df: DataFrame, m: int, share: float = 0.1, ddof: int = 1) -> DataFrame:
-    """(series_id, idx, score, pred): scaled profile, zeros for the last m - 1 values, contamination."""
+    """(series_id, idx, score, pred): scaled profile, zeros for the last m - 1 values, contamination.
+
+    Scores have nine places, so that windows equally far from all others tie.
+    """
     mp = minmax(matrix_profile(df, m, ddof), ["mp"], ["series_id"])
-    out = df.select("series_id", "idx").join(mp, ["series_id", "idx"], "left").withColumn("score", F.coalesce("mp", F.lit(0.0)))
+    out = df.select("series_id", "idx").join(mp, ["series_id", "idx"], "left").withColumn("score", F.round(F.coalesce("mp", F.lit(0.0)), 9))
     return contamination(out, share, ["series_id"]).select("series_id", "idx", "score", "pred")
 
 

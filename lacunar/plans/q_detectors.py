@@ -203,7 +203,7 @@ def _(spark, d):
     return ADBase(missing_classifier="SSDO").fit_predict(_one(spark, d))
 
 
-@query("pip_6_keogh", "series_id s, idx i, score d, pred i", f"""{SERIES}, {mp_sql(24)}, scaled AS (SELECT series_id, idx, {minmax_sql('mp', 'PARTITION BY series_id')} AS mp FROM mp), filled AS (SELECT s.series_id, s.idx, coalesce(m.mp, 0) AS score FROM series s LEFT JOIN scaled m USING (series_id, idx)),
+@query("pip_6_keogh", "series_id s, idx i, score d, pred i", f"""{SERIES}, {mp_sql(24)}, scaled AS (SELECT series_id, idx, {minmax_sql('mp', 'PARTITION BY series_id')} AS mp FROM mp), filled AS (SELECT s.series_id, s.idx, round(coalesce(m.mp, 0), 9) AS score FROM series s LEFT JOIN scaled m USING (series_id, idx)),
   judged AS ({contamination_sql('filled', 0.1, 'score', 'series_id')}) SELECT series_id, idx - 400 AS idx, score, pred FROM judged WHERE idx >= 400""")
 def _(spark, d):
     df = hourly(spark, d)

@@ -206,7 +206,7 @@ def _(spark, d):
     return profile.pairs(hourly(spark, d), 12, split=30)
 
 
-_DISCORD = f"{SERIES}, {mp_sql(24)}, scaled AS (SELECT series_id, idx, CASE WHEN max(mp) OVER p > min(mp) OVER p THEN (mp - min(mp) OVER p) / (max(mp) OVER p - min(mp) OVER p) ELSE 0 END AS mp FROM mp WINDOW p AS (PARTITION BY series_id)), filled AS (SELECT s.series_id, s.idx, coalesce(m.mp, 0) AS score FROM series s LEFT JOIN scaled m USING (series_id, idx)) {contamination_sql('filled', 0.1, 'score', 'series_id')}"
+_DISCORD = f"{SERIES}, {mp_sql(24)}, scaled AS (SELECT series_id, idx, CASE WHEN max(mp) OVER p > min(mp) OVER p THEN (mp - min(mp) OVER p) / (max(mp) OVER p - min(mp) OVER p) ELSE 0 END AS mp FROM mp WINDOW p AS (PARTITION BY series_id)), filled AS (SELECT s.series_id, s.idx, round(coalesce(m.mp, 0), 9) AS score FROM series s LEFT JOIN scaled m USING (series_id, idx)) {contamination_sql('filled', 0.1, 'score', 'series_id')}"
 
 
 @query("est_11_matrix_profile_discords", "series_id s, idx i, score d, pred i", _DISCORD)

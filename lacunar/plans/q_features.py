@@ -93,7 +93,7 @@ def _(spark, d):
 
 
 @query("scl_6_scaled_features", "series_id s, idx i, features a", f"""{STAT_SQL}, timed AS (SELECT *, sin(2 * pi() * hour(ts) / 24) AS time_x, cos(2 * pi() * hour(ts) / 24) AS time_y FROM stats)
-  SELECT series_id, idx, [{', '.join(f"({c} - avg({c}) OVER p) / stddev_pop({c}) OVER p" for c in (*STATS, "time_x", "time_y"))}] AS features FROM timed WINDOW p AS (PARTITION BY series_id)""")
+  SELECT series_id, idx, [{', '.join(f"coalesce(({c} - avg({c}) OVER p) / nullif(stddev_pop({c}) OVER p, 0), 0)" for c in (*STATS, "time_x", "time_y"))}] AS features FROM timed WINDOW p AS (PARTITION BY series_id)""")
 def _(spark, d):
     return scale_features(features(hourly(spark, d), W, "stat_time"))
 

@@ -3,6 +3,7 @@
 import os
 
 import numpy as np
+import pandas as pd
 import pytest
 
 duckdb = pytest.importorskip("duckdb")
@@ -24,8 +25,9 @@ def duck():
 def rows(df):
     out = []
     for r in df.itertuples(index=False):
-        out.append(tuple(tuple(np.round(v, 5)) if isinstance(v, list | np.ndarray) else None if v != v else round(float(v), 5) if isinstance(v, float) else str(v) if hasattr(v, "isoformat") else v for v in r))
-    return sorted(out, key=str)
+        out.append(tuple(tuple(np.round(v, 5)) if isinstance(v, list | np.ndarray) else None if v is pd.NA or v != v else round(float(v), 5) if isinstance(v, float) else str(v) if hasattr(v, "isoformat") else v for v in r))
+    inexact = float | tuple
+    return sorted(out, key=lambda r: (str([v for v in r if not isinstance(v, inexact)]), [v for v in r if isinstance(v, inexact)]))
 
 
 @pytest.mark.parametrize("name", sorted(set(catalog.queries()) - SLOW))
