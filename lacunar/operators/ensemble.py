@@ -262,9 +262,9 @@ def cluster_prior(points: DataFrame, clusters: int = 10, tol: float = 1e-8, most
     return out.select("id", (F.when(F.col("radius") < tol, 1.0).otherwise(F.col("d") / F.col("radius")) * F.col("dev") / (F.col("n") / F.col("top"))).alias("prior"))
 
 
-def ssdo(points: DataFrame, clusters: int = 10, alpha: float = 2.3, k: int = 30, share: float = 0.1, base: str = "ssdo", prior: DataFrame | None = None, tol: float = 1e-8) -> DataFrame:
+def semi_supervised(points: DataFrame, clusters: int = 10, alpha: float = 2.3, k: int = 30, share: float = 0.1, base: str = "clusters", prior: DataFrame | None = None, tol: float = 1e-8) -> DataFrame:
     """(id, score, pred): a prior from clusters, a forest or the caller, updated by labels."""
-    if base == "ssdo":
+    if base == "clusters":
         first = cluster_prior(points, clusters)
     elif base == "IF":
         first = isolation_forest(points, 500).select("id", F.col("score").alias("prior"))
@@ -273,7 +273,7 @@ def ssdo(points: DataFrame, clusters: int = 10, alpha: float = 2.3, k: int = 30,
             raise ValueError("base 'other' needs a prior (id, score)")
         first = minmax(prior.select("id", F.col("score").alias("prior")), ["prior"], [])
     else:
-        raise ValueError("base is ssdo, IF or other")
+        raise ValueError("base is clusters, IF or other")
     first = first.cache()  # (id, prior), read three times
     ranked = contamination(first, share, [], "prior")
     gamma = ranked.where("pred = 1").agg(F.min("prior").alias("g"))  # the value at the contamination's position

@@ -333,7 +333,7 @@ def fit_weibull(values: DataFrame, which: str = "all") -> DataFrame:
     return values.groupBy("series_id").applyInPandas(fit, WEIBULL)
 
 
-class FZapPa(Params):
+class AbsenceDetector(Params):
     """Absence of a pattern by time or usage since it last occurred."""
 
     defaults = {"missing_features": "all", "missing_alpha": 0.95, "occurrence_detection": "fingerprint", "detector": None}
@@ -353,7 +353,7 @@ class FZapPa(Params):
         return suspicion(df, self.model, alpha=self.missing_alpha)
 
 
-class AverageMissing(FZapPa):
+class AverageMissing(AbsenceDetector):
     """The same with the mean interarrival time as the limit."""
 
     def fit_predict(self, df: DataFrame) -> DataFrame:
@@ -379,14 +379,14 @@ class ADBase(Params):
         templates = shape_templates(df, ranges, self.n_clusters) if "shape" in BLOCKS[self.features] else None
         rows = scale_features(features(df, self.ws, self.features, templates, self.warping_width)).select(F.col("idx").alias("id"), "features")
         pts = rows.withColumn("label", F.lit(0))
-        if self.missing_classifier in ("SSDO", "SSAD"):
+        if self.missing_classifier in ("semi_supervised", "SSAD"):
             lab = series.label_segments(df.select("series_id", "idx"), ranges, self.ws).select(F.col("idx").alias("id"), F.when(F.col("label") == 1, -1).otherwise(0).alias("label"))
             pts = rows.join(lab, "id")
         run = {
             "kNNo": lambda: neighbors.knno(pts, self.k, share),
             "LOF": lambda: neighbors.lof(pts, self.k, share),
             "IF": lambda: ensemble.isolation_forest(pts, share=share),
-            "SSDO": lambda: ensemble.ssdo(pts, share=share, base="IF"),
+            "semi_supervised": lambda: ensemble.semi_supervised(pts, share=share, base="IF"),
             "SSAD": lambda: ensemble.ssad(pts, share=share),
         }
         if self.missing_classifier not in run:
@@ -395,7 +395,7 @@ class ADBase(Params):
         return df.select("idx").join(got, "idx", "left").select("idx", F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("pred", F.lit(-1)).alias("pred"))
 
 
-class KeoghBase(Params):
+class DiscordDetector(Params):
     """Discords by the matrix profile of train and test together."""
 
     defaults = {"ws": 24, "missing_classifier": "MatrixProfile", "missing_alpha": 0.9, "ddof": 1}

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import ensemble, neighbors, scores
 from .base import POINTS, SERIES, frame, hourly, islands, points
 from .catalog import query
-from .detectors import ADBase, AverageMissing, FingerprintDetector, FZapPa, KeoghBase, PatternDetector
+from .detectors import ADBase, AverageMissing, FingerprintDetector, AbsenceDetector, DiscordDetector, PatternDetector
 from .q_distances import _DTW, _KNN, dtw_sql, mp_sql
 from .q_series import A, apart_sql, contamination_sql, sample_sql, z_sql
 
@@ -75,24 +75,24 @@ _POST = f"{_ETA}, priors AS (SELECT id, features, (id % 97) / 97.0::DOUBLE AS pr
 
 
 @query("joi_7_label_distances", "id i, score d", f"{_POST} SELECT id, (prior + 2.3 * da) / (1 + 2.3 * (da + dn)) AS score FROM sums")
-@query("est_7_ssdo_posterior", "id i, score d", f"{_POST} SELECT id, (prior + 2.3 * da) / (1 + 2.3 * (da + dn)) AS score FROM sums")
+@query("est_7_semi_supervised_posterior", "id i, score d", f"{_POST} SELECT id, (prior + 2.3 * da) / (1 + 2.3 * (da + dn)) AS score FROM sums")
 def _(spark, d):
     p = _prior(points(spark, d))
     eta = ensemble.harmonic_eta(p).first()["eta"]
     return ensemble.posterior(p, p.where("label <> 0"), eta)
 
 
-@query("est_7_ssdo_other_prior", SCORE, f"""{_ETA}, raw AS (SELECT id, features, {minmax_sql('(id * 37 % 101)')} AS score FROM pts), lim AS (SELECT min(score) AS g FROM ({contamination_sql('raw', 0.1)}) WHERE pred = 1),
+@query("est_7_semi_supervised_other_prior", SCORE, f"""{_ETA}, raw AS (SELECT id, features, {minmax_sql('(id * 37 % 101)')} AS score FROM pts), lim AS (SELECT min(score) AS g FROM ({contamination_sql('raw', 0.1)}) WHERE pred = 1),
   priors AS (SELECT id, features, 1 - pow(2, -pow(score / ((SELECT g FROM lim) + 1e-8), 2)) AS prior FROM raw), {_SUMS},
   scored AS (SELECT id, (prior + 2.3 * da) / (1 + 2.3 * (da + dn)) AS score FROM sums) {contamination_sql('scored', 0.1)}""")
 def _(spark, d):
     p = points(spark, d)
-    return ensemble.ssdo(p, base="other", prior=p.select("id", (F.col("id") * 37 % 101).cast("double").alias("score")))
+    return ensemble.semi_supervised(p, base="other", prior=p.select("id", (F.col("id") * 37 % 101).cast("double").alias("score")))
 
 
-@query("est_7_ssdo", SCORE)
+@query("est_7_semi_supervised", SCORE)
 def _(spark, d):
-    return ensemble.ssdo(points(spark, d))
+    return ensemble.semi_supervised(points(spark, d))
 
 
 _CLUSTERED = f"{POINTS}, cl AS (SELECT id, id % 5 AS c, features[1] AS x FROM pts), mids AS (SELECT c, avg(x) AS m, count(*) AS n FROM cl GROUP BY 1)"
@@ -151,9 +151,9 @@ def _(spark, d):
     return PatternDetector(features="stat_time", rounds=20).fit_predict_occurrences(hourly(spark, d))
 
 
-@query("pip_3_fzappa", A)
+@query("pip_3_absence_detector", A)
 def _(spark, d):
-    return FZapPa().fit_predict(hourly(spark, d))
+    return AbsenceDetector().fit_predict(hourly(spark, d))
 
 
 @query("pip_4_average_missing_detector", A)
@@ -198,14 +198,14 @@ def _(spark, d):
     return ADBase(missing_classifier="SSAD").fit_predict(_one(spark, d))
 
 
-@query("pip_5_adbase_ssdo", "idx i, score d, pred i")
+@query("pip_5_adbase_semi_supervised", "idx i, score d, pred i")
 def _(spark, d):
-    return ADBase(missing_classifier="SSDO").fit_predict(_one(spark, d))
+    return ADBase(missing_classifier="semi_supervised").fit_predict(_one(spark, d))
 
 
-@query("pip_6_keogh", "series_id s, idx i, score d, pred i", f"""{SERIES}, {mp_sql(24)}, scaled AS (SELECT series_id, idx, {minmax_sql('mp', 'PARTITION BY series_id')} AS mp FROM mp), filled AS (SELECT s.series_id, s.idx, round(coalesce(m.mp, 0), 9) AS score FROM series s LEFT JOIN scaled m USING (series_id, idx)),
+@query("pip_6_discord_detector", "series_id s, idx i, score d, pred i", f"""{SERIES}, {mp_sql(24)}, scaled AS (SELECT series_id, idx, {minmax_sql('mp', 'PARTITION BY series_id')} AS mp FROM mp), filled AS (SELECT s.series_id, s.idx, round(coalesce(m.mp, 0), 9) AS score FROM series s LEFT JOIN scaled m USING (series_id, idx)),
   judged AS ({contamination_sql('filled', 0.1, 'score', 'series_id')}) SELECT series_id, idx - 400 AS idx, score, pred FROM judged WHERE idx >= 400""")
 def _(spark, d):
     df = hourly(spark, d)
-    return KeoghBase().fit(df.where("idx < 400")).predict_suspicion(df.where("idx >= 400").withColumn("idx", F.col("idx") - 400))
+    return DiscordDetector().fit(df.where("idx < 400")).predict_suspicion(df.where("idx >= 400").withColumn("idx", F.col("idx") - 400))
 

@@ -154,17 +154,17 @@ def test_outlier_stands_out(spark):
         assert top["pred"] == 1
         assert got.where("id = 60").first()["pred"] == 1
         assert got.agg(F.min("score")).first()[0] >= 0 and got.agg(F.max("score")).first()[0] <= 1
-    assert ensemble.ssdo(pts, clusters=3, k=5).where("id = 60").first()["pred"] == 1
+    assert ensemble.semi_supervised(pts, clusters=3, k=5).where("id = 60").first()["pred"] == 1
 
 
 def test_params_and_schema(spark):
-    d = detectors.FZapPa(detector=detectors.FingerprintDetector(w=4))
+    d = detectors.AbsenceDetector(detector=detectors.FingerprintDetector(w=4))
     assert d.get_params()["detector__w"] == 4
     assert d.set_params(detector__w=5, missing_alpha=0.9).detector.w == 5
     with pytest.raises(ValueError):
         d.set_params(nothing=1)
     with pytest.raises(NotImplementedError):
-        detectors.KeoghBase(missing_classifier="WCAD").fit(None)
+        detectors.DiscordDetector(missing_classifier="WCAD").fit(None)
     with pytest.raises(SchemaError):
         check_time_series(spark.createDataFrame([(1,)], "a int"))
     assert check_points(spark.createDataFrame([(1, 2.0)], "id long, features double")).first()["features"] == [2.0]
