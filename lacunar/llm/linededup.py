@@ -82,18 +82,18 @@ def removals(texts: DataFrame, dealt: DataFrame, least: int = LEAST) -> DataFram
 
 
 def dedup(df: DataFrame, least: int = LEAST, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """df with text as deduplicated, and n_lines and n_removed (long)."""
-    columns = df.columns
-    rows = df.withColumn("_t", F.coalesce(F.col(text), F.lit(""))).withColumn("_o", F.coalesce(F.col(key).cast("long"), F.lit(NO_ID))).withColumn("_th", F.xxhash64("_t"))
-    dealt = rows.repartition(parts(df, 8.0), "_o", "_th")
-    named = lambda d: d.select(F.col("_o").alias("o"), F.col("_th").alias("th"), F.col("_t").alias("t"))
-    gone = materialize(removals(named(rows), named(dealt), least)).select(F.col("o").alias("_o"), F.col("th").alias("_th"), F.col("gone").alias("_gone"))
-    copy = F.row_number().over(Window.partitionBy("_o", "_th").orderBy(F.lit(1)))
-    out = dealt.join(gone, ["_o", "_th"], "left").withColumn("_copy", copy).withColumn("_all", F.split("_t", "\n", -1))
-    stays = lambda line, i: ~((F.length(line) >= least) & ((F.col("_copy") > 1) | F.coalesce(F.array_contains("_gone", i), F.lit(False))))
-    out = out.withColumn("_kept", F.filter("_all", stays))
-    changed = F.size("_kept") < F.size("_all")
-    return out.select(*(F.when(changed, F.array_join("_kept", "\n")).otherwise(F.col(c)).alias(c) if c == text else F.col(c) for c in columns), F.size("_all").cast("long").alias("n_lines"), (F.size("_all") - F.size("_kept")).cast("long").alias("n_removed"))
+    """df with text as deduplicated, and n_lines and n_removed (long), which replace columns of these names."""
+    columns = [c for c in df.columns if c not in ("n_lines", "n_removed")]
+    rows = df.withColumn("__line_t", F.coalesce(F.col(text), F.lit(""))).withColumn("__line_o", F.coalesce(F.col(key).cast("long"), F.lit(NO_ID))).withColumn("__line_th", F.xxhash64("__line_t"))
+    dealt = rows.repartition(parts(df, 8.0), "__line_o", "__line_th")
+    named = lambda d: d.select(F.col("__line_o").alias("o"), F.col("__line_th").alias("th"), F.col("__line_t").alias("t"))
+    gone = materialize(removals(named(rows), named(dealt), least)).select(F.col("o").alias("__line_o"), F.col("th").alias("__line_th"), F.col("gone").alias("__line_gone"))
+    copy = F.row_number().over(Window.partitionBy("__line_o", "__line_th").orderBy(F.lit(1)))
+    out = dealt.join(gone, ["__line_o", "__line_th"], "left").withColumn("__line_copy", copy).withColumn("__line_all", F.split("__line_t", "\n", -1))
+    stays = lambda line, i: ~((F.length(line) >= least) & ((F.col("__line_copy") > 1) | F.coalesce(F.array_contains("__line_gone", i), F.lit(False))))
+    out = out.withColumn("__line_kept", F.filter("__line_all", stays))
+    changed = F.size("__line_kept") < F.size("__line_all")
+    return out.select(*(F.when(changed, F.array_join("__line_kept", "\n")).otherwise(F.col(c)).alias(c) if c == text else F.col(c) for c in columns), F.size("__line_all").cast("long").alias("n_lines"), (F.size("__line_all") - F.size("__line_kept")).cast("long").alias("n_removed"))
 
 
 def _sql(least: int = LEAST) -> str:

@@ -316,7 +316,7 @@ def one_of_each(df: DataFrame, n: int = 5, percent: int = 80, text: str = "text"
     Rows without an id have nothing to be told apart by and stay.
     """
     known = df.where(F.col(key).isNotNull())
-    stays = join(known, n, percent, text, key).where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    same = Window.partitionBy("_id").orderBy(F.xxhash64(F.col(text)))
-    kept = known.join(stays, F.col(key) == F.col("_id")).withColumn("_row", F.row_number().over(same)).where("_row = 1")
+    stays = join(known, n, percent, text, key).where("doc_id = component_id").select(F.col("doc_id").alias("__near_id")).distinct()
+    same = Window.partitionBy("__near_id").orderBy(F.xxhash64(F.col(text)))
+    kept = known.join(stays, F.col(key) == F.col("__near_id")).withColumn("__near_row", F.row_number().over(same)).where("__near_row = 1")
     return kept.select(*df.columns).unionByName(df.where(F.col(key).isNull()))

@@ -78,16 +78,16 @@ def test_all_rows_come_back(name, docs, empty):
 
 
 def test_line_dedup_keeps_columns_and_rows(docs, empty):
-    base = docs.drop("n_lines")
-    out = linededup.dedup(base)
-    assert out.columns == [*base.columns, "n_lines", "n_removed"]
+    out = linededup.dedup(docs)
+    assert out.columns == [*(c for c in docs.columns if c != "n_lines"), "n_lines", "n_removed"]
     got = out.collect()
+    assert all(r["_t"] == "t" and r["_row"] == 1 and r["th"] == "th" for r in got)
     assert len(got) == len(rows())
     assert sum(r["text"] is None for r in got) == 2
     # the copies of the body lose it; the first row in order (no id) keeps it
     kept = [(r["doc_id"], r["n_removed"]) for r in got if r["size"] in (0, 1, 2, 5)]
     assert sorted(kept, key=str) == [(1, 1), (2, 1), (2, 1), (None, 0)]
-    assert linededup.dedup(empty.drop("n_lines")).collect() == []
+    assert linededup.dedup(empty).collect() == []
 
 
 def test_equal_texts_have_equal_values(docs):
