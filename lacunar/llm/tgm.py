@@ -73,8 +73,9 @@ def shingle_set(text: bytes, n: int = 3) -> np.ndarray:
     at = np.arange(first[0], len(data)) - np.repeat(first, np.diff(np.append(first, len(data))))
     part = data[first[0] :]
     powers = _POW[at & 255]
-    if at.max() > 255:  # words of over 256 bytes
-        powers = powers * _mix(at.astype(np.uint64) >> np.uint64(8) | np.uint64(1 << 60))
+    if at.max() > 255:  # bytes past the 256th of a word, alone: other words keep their hash
+        far = np.flatnonzero((at > 255) & ~blank[first[0] :])
+        powers[far] *= _mix(at[far].astype(np.uint64) >> np.uint64(8) | np.uint64(1 << 60))
     h = np.where(blank[first[0] :], np.uint64(0), _BYTE[part] * powers)
     w = _mix(np.add.reduceat(h, first - first[0]))
     k = min(n, len(w))

@@ -159,3 +159,16 @@ def test_hash_helpers(docs):
     r = media.summary(docs.where("doc_id = 4")).first()
     assert r["payload_bytes"] == 64 and r["payload_sha256"] == hashlib.sha256(bytes(64)).hexdigest()
     assert docs.select(F.max(mixing.words(F.col("text")))).first()[0] > 0
+
+
+def test_a_long_word_or_run_of_blanks_leaves_other_words_alone(spark):
+    base = _text(random.Random(3), 80)
+    half = base.index(" ", len(base) // 2)
+    texts = [base, f"{base} {'u' * 300}", base[:half] + " " * 300 + base[half:], base[:half] + "\n" * 600 + base[half:]]
+    sets = [set(tgm.shingle_set(t.encode()).tolist()) for t in texts]
+    assert sets[0] < sets[1] and len(sets[1]) == len(sets[0]) + 1
+    assert sets[0] == sets[2] == sets[3]
+    words = [c * 256 + d for c in "ab" for d in ("", "c", "d")] + ["a" * k for k in (255, 511, 512, 513, 1000)]
+    assert len({tgm.shingle_set(w.encode())[0] for w in words}) == len(words)  # long words are told apart
+    got = tgm.join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r["component_id"] for r in got} == {0}
