@@ -1,13 +1,11 @@
-"""Best-fit packing of tokenised documents with bound-certified repacking.
+"""Best-fit packing of tokenised documents, certified by bounds.
 
-Documents become pieces of at most ``size`` tokens (``pieces``). ``pack`` deals
-the pieces over partitions and packs each by best-fit decreasing. Lower bounds
-from dual feasible functions certify the bin counts: one for each partition,
-and one for all pieces from their length histogram. Partitions that use more
-bins than their bound release their emptiest bins; eight partitions pool what
-they released and rerun best-fit decreasing, and the new packing counts if it
-saves bins. Rounds go on, with an eighth of the partitions each time, until the
-global bound is met or one partition is left.
+Documents become pieces of at most ``size`` tokens (``pieces``). ``pack`` runs one
+best-fit decreasing over all of them: pieces of one length are alike, so their
+number by length gives the whole packing (``plan``), as ranges of bins that take
+the same. Pieces are then ranked within their length, bucket by bucket, and look
+up their bin. Lower bounds from dual feasible functions (``bound``) tell from the
+same numbers how far from the fewest bins the packing can be.
 
 A null text is an empty document: one piece that holds only the end id. Rows
 that repeat are documents of their own.
@@ -16,21 +14,19 @@ that repeat are documents of their own.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
 from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
 from .quality import chunked
 
 SIZE = 2048
-#: Pieces that one partition packs, and the bins that it may release a round.
+#: Pieces that one task places, about.
 PARTITION = 40_000
-RELEASE = 64
 #: Bytes of text tokenised at once; the lower-cased words, and words as written,
 #: that a worker remembers: the first it meets, which are the frequent ones.
 CHUNK = 4_000_000
@@ -218,43 +214,63 @@ def best_fit(lengths: list[int], size: int = SIZE) -> tuple[list[int], int]:
     return out, bins
 
 
-_PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, open boolean"
-
-
-def _packer(size: int, base: int):
-    """A partition's pieces (with the sequence they were in, if any), packed; open: released for another round."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        found = list(batches)  # about PARTITION pieces
-        if not sum(b.num_rows for b in found):
-            return
-        t = pa.Table.from_batches(found)
-        t = t.sort_by([(c, "ascending") for c in ("length", "doc_id", "piece", "ids_crc32", "start")])
-        n = t["length"].to_pylist()
-        where, bins = best_fit(n, size)
-        old = t["sequence_id"].to_numpy(zero_copy_only=False) if t["sequence_id"].null_count == 0 else None
-        ids = base + (TaskContext.get().partitionId() << 32)
-        seq = np.array(where, np.int64)
-        if old is not None and len(np.unique(old)) <= bins:
-            seq, bins, ids = np.unique(old, return_inverse=True)[1], len(np.unique(old)), None
-        length = np.array(n)
-        fill = np.bincount(seq, weights=length, minlength=bins).astype(np.int64)
-        gap = bins > bound(np.bincount(length, minlength=size + 1), size) or fill.min() < size
-        out = np.zeros(bins, bool)
-        if gap:
-            worst = np.argsort(fill, kind="stable")[:RELEASE]
-            out[worst] = fill[worst] < size
-        order = np.argsort(seq, kind="stable")
-        first = np.concatenate([[True], seq[order][1:] != seq[order][:-1]])
-        upto = np.cumsum(length[order]) - length[order]
-        offset = np.empty(len(n), np.int64)
-        offset[order] = upto - np.maximum.accumulate(np.where(first, upto, 0))
-        named = old if ids is None else ids + seq
-        for k, col in (("sequence_id", pa.array(named, pa.int64())), ("offset", pa.array(offset)), ("open", pa.array(out[seq]))):
-            t = t.set_column(t.schema.get_field_index(k), k, col) if k in t.schema.names else t.append_column(k, col)
-        yield from t.select([x.split()[0] for x in _PACKED.split(", ")]).combine_chunks().to_batches()
+def plan(counts: np.ndarray, size: int = SIZE) -> tuple[np.ndarray, int]:
+    """Best-fit decreasing over all pieces; counts[n]: pieces of n tokens.
+
+    Rows (length, rank, times, bin, offset) by length and rank: the pieces of that
+    length from that rank on go, so many a bin, to the bins from that one on, at
+    that offset. Each length cuts at most two ranges of bins, so the rows depend
+    on size, not on the number of pieces. Also the number of bins.
+    """
+    room: list[list[tuple[int, int]]] = [[] for _ in range(size + 1)]  # (first bin, bins) that have so much left
+    free, bins, out = 0, 0, []
+
+    def put(r: int, b: int, m: int) -> None:
+        nonlocal free
+        if r and m:
+            free |= 1 << r
+            room[r].append((b, m))
+
+    for n in np.flatnonzero(counts)[::-1].tolist():
+        rank, left = 0, int(counts[n])
+        while left:
+            fits = free >> n
+            if fits:
+                r = n + (fits & -fits).bit_length() - 1
+                b, m = room[r].pop()
+                if not room[r]:
+                    free ^= 1 << r
+            else:
+                r, b, m = size, bins, -(-left // (size // n))
+                bins += m
+            # a bin that took one has the least room that fits: it takes all it can
+            for q, k in ((r // n, min(m, left // (r // n))), (left % (r // n), 1)):
+                if q and k and m and left >= q * k:
+                    out.append((n, rank, q, b, size - r))
+                    put(r - q * n, b, k)
+                    rank, left, b, m = rank + q * k, left - q * k, b + k, m - k
+            put(r, b, m)
+    return np.array(sorted(out), np.int64).reshape(-1, 5), bins
+
+
+_PACKED = PIECES + ", sequence_id long, offset long"
+
+
+def _place(rows: np.ndarray, size: int):
+    """A bucket's pieces, with their bin; and how many of each length the buckets before it hold."""
+    names = [x.split()[0] for x in _PACKED.split(", ")]
+    key = rows[:, 0] << 40 | rows[:, 1]
+
+    def run(t: pa.Table, c: pa.Table) -> pa.Table:
+        t = t.sort_by([(k, "ascending") for k in ("length", "doc_id", "piece", "ids_crc32", "start")])
+        before = np.zeros(size + 1, np.int64)
+        before[c["length"].to_numpy()] = c["before"].to_numpy()
+        n = t["length"].to_numpy()
+        rank = before[n] + np.arange(len(n)) - np.searchsorted(n, n)
+        _, first, times, b, offset = rows[np.searchsorted(key, n << 40 | rank, "right") - 1].T
+        at = rank - first
+        t = t.append_column("sequence_id", pa.array(b + at // times)).append_column("offset", pa.array(offset + at % times * n))
+        return t.select(names).combine_chunks()
 
     return run
 
@@ -265,18 +281,10 @@ def pack(found: DataFrame, size: int = SIZE, partition: int = PARTITION) -> Data
     hist = np.zeros(size + 1, np.int64)
     for r in found.groupBy("length").count().collect():  # size rows at most
         hist[r["length"]] = r["count"]
-    least, parts = bound(hist, size), max(1, round(int(hist.sum()) / partition))
-    rows = found.withColumns({"sequence_id": F.lit(None).cast("long"), "offset": F.lit(0).cast("long")})
-    done, base = None, 0
-    key = F.xxhash64("doc_id", "piece", "ids_crc32")
-    rows = rows.repartition(parts, key)
-    while True:
-        now = materialize(rows.mapInArrow(_packer(size, base << 56), _PACKED))
-        sealed = now.where("not open") if parts > 1 else now
-        whole = now if done is None else done.unionByName(now)
-        bins = whole.select("sequence_id").distinct().count()
-        if parts == 1 or bins <= least:
-            return whole.drop("open")
-        done = sealed if done is None else done.unionByName(sealed)
-        parts, base = max(1, parts // 8), base + 1
-        rows = now.where("open").drop("open").repartition(parts, F.xxhash64("sequence_id"))
+    rows, _ = plan(hist, size)
+    parts = max(1, round(int(hist.sum()) / partition))
+    dealt = found.withColumn("b", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(parts)))
+    held = dealt.groupBy("b", "length").agg(F.count(F.lit(1)).alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("length").orderBy("b"))  # a row for each bucket
+    held = materialize(held.select("b", "length", (upto - F.col("n")).alias("before")))  # written, so that both sides are dealt anew by b
+    return dealt.groupBy("b").cogroup(held.groupBy("b")).applyInArrow(_place(rows, size), _PACKED)

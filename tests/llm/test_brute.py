@@ -219,6 +219,19 @@ def test_exchange_over_partitions(docs):
     assert not got.duplicated(["doc_id", "piece"]).any()
 
 
+def test_packing_over_partitions_is_one_best_fit(spark):
+    rng = random.Random(6)
+    for top in (1, 2, 5, 12, 60):
+        n = [rng.randint(1, top) for _ in range(rng.randint(1, 400))]
+        assert packing.plan(packing.np.bincount(n, minlength=61), 60)[1] == packing.best_fit(n, 60)[1]
+    n = [rng.randint(500, 2048) for _ in range(8000)]
+    df = spark.createDataFrame([(i, 0, 0, x, i % 7) for i, x in enumerate(n)], packing.PIECES)
+    got = packing.pack(df, partition=1000).toPandas().sort_values(["sequence_id", "offset"])
+    assert sorted(got.doc_id) == list(range(8000)) and got.groupby("sequence_id").length.sum().max() <= 2048
+    assert (got.groupby("sequence_id").length.cumsum() - got.length == got.offset).all()
+    assert got.sequence_id.nunique() == packing.best_fit(n)[1]
+
+
 @here
 def test_quality_and_language_on_held_out_rows(spark):
     labels = spark.read.parquet(f"{DATA}/labels.parquet")
