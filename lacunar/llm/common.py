@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import math
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -71,6 +74,58 @@ def parts(df: DataFrame, per_part_mb: float = 16.0, least: int = 8) -> int:
     return max(least, min(20_000, math.ceil(sum(sizes) / (per_part_mb * 1e6))))
 
 
+def _release() -> None:
+    """Gives memory that is free inside a Python worker back to the machine."""
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
+
+
+def tidy(run: Callable) -> Callable:
+    """The function of a mapInArrow that leaves its worker small.
+
+    Workers live on between tasks and stages; what a task leaves in their pools
+    would add to the memory that the next stage needs.
+    """
+
+    def over(batches):
+        try:
+            yield from run(batches)
+        finally:
+            _release()
+
+    return over
+
+
+def tidy_group(run: Callable) -> Callable:
+    """As tidy, for the function of one group."""
+
+    def over(t):
+        try:
+            return run(t)
+        finally:
+            _release()
+
+    return over
+
+
+def tidy_pair(run: Callable) -> Callable:
+    """As tidy, for the function of two groups of one key."""
+
+    def over(t, d):
+        try:
+            return run(t, d)
+        finally:
+            _release()
+
+    return over
+
+
 def crc_mod(doc_id: str | Column, k: int) -> Column:
     """crc32 of the id's decimal text, modulo k (null id: the empty text's)."""
     col = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, parts
+from .common import materialize, parts, tidy
 
 LEAST = -(1 << 63)
 
@@ -48,7 +48,7 @@ def fingerprints(df: DataFrame, text: str = "text", key: str = "doc_id") -> Data
             fps = [fingerprint(x.as_py() or "") for x in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.string())], ["doc_id", "fingerprint"])
 
-    return df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("t")).mapInArrow(run, "doc_id long, fingerprint string")
+    return df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("t")).mapInArrow(tidy(run), "doc_id long, fingerprint string")
 
 
 def collisions(texts: DataFrame) -> DataFrame:
@@ -102,10 +102,10 @@ def edited_pairs(df: DataFrame, text: str = "text", key: str = "doc_id", per_par
             cols = list(zip(*rows, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary()), strict=True)], ["bucket", "guard", "o", "kind", "z"])
 
-    prints = materialize(docs.mapInArrow(hashed, "o long, bucket int, fingerprint string"))
+    prints = materialize(docs.mapInArrow(tidy(hashed), "o long, bucket int, fingerprint string"))
     shared = prints.groupBy("fingerprint").count().where("count > 1").select("fingerprint")
     marks = prints.join(shared, "fingerprint").select("bucket", F.lit(0).alias("guard"), "o", F.lit(0).alias("kind"), F.lit(None).cast("binary").alias("z"))
-    texts = docs.mapInArrow(packed, "bucket int, guard int, o long, kind int, z binary")
+    texts = docs.mapInArrow(tidy(packed), "bucket int, guard int, o long, kind int, z binary")
     dealt = texts.unionByName(marks).repartition(n, "bucket").sortWithinPartitions("bucket", "guard", "o", "kind", "z")
 
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, canon string"
@@ -139,7 +139,7 @@ def edited_pairs(df: DataFrame, text: str = "text", key: str = "doc_id", per_par
             cols = list(zip(*rows, strict=True)) or [[]] * 8
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [x.split()[0] for x in schema.split(", ")])
 
-    found = materialize(dealt.mapInArrow(paired, schema))
+    found = materialize(dealt.mapInArrow(tidy(paired), schema))
     clash = collisions(found.where("canon is not null").select("fingerprint", "canon"))
     if not clash.isEmpty():
         found = found.join(clash, ["fingerprint", "canon"], "left").withColumn("fingerprint", F.concat_ws("-", "fingerprint", "ordinal"))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import unit_hash
+from .common import tidy, unit_hash
 
 DIM = 1 << 15
 SAMPLE = 1500
@@ -142,7 +142,7 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(df_[at], pa.int64())], ["f", "n"])
 
     freq = np.zeros(DIM)
-    for r in rows.select("t").mapInArrow(seen, "f int, n long").groupBy("f").agg(F.sum("n").alias("n")).toArrow().to_pylist():  # DIM rows at most
+    for r in rows.select("t").mapInArrow(tidy(seen), "f int, n long").groupBy("f").agg(F.sum("n").alias("n")).toArrow().to_pylist():  # DIM rows at most
         freq[r["f"]] = r["n"]
     idf = np.log((1 + sum(counts.values())) / (1 + freq)) + 1
 
@@ -156,7 +156,7 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
             cols = list(zip(*out, strict=True)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array([a.astype(np.int32).tobytes() for a in cols[2]], pa.binary()), pa.array([a.astype(np.float32).tobytes() for a in cols[3]], pa.binary())], ["k", "l", "at", "v"])
 
-    got = rows.where(unit_hash(F.col("k"), seed=9) < rate).select(F.col("k").cast("long"), "l", "t").mapInArrow(made, "k long, l string, at binary, v binary").toArrow().to_pylist()
+    got = rows.where(unit_hash(F.col("k"), seed=9) < rate).select(F.col("k").cast("long"), "l", "t").mapInArrow(tidy(made), "k long, l string, at binary, v binary").toArrow().to_pylist()
     got.sort(key=lambda r: (r["k"] * 0x9E3779B97F4A7C15 % (1 << 64) if r["k"] is not None else -1, r["at"], r["v"]))
     data = [(np.frombuffer(r["at"], np.int32).astype(np.int64), np.frombuffer(r["v"], np.float32).astype(float), langs.index(r["l"])) for r in got]
     fit, rest = [r for i, r in enumerate(data) if i % 5], data[::5]
@@ -175,4 +175,4 @@ def predict(df: DataFrame, model: Model, held_out: Column, text: str = "text", k
             got = [shared.value.predict(x.as_py()) for x in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
-    return df.select(F.col(key).cast("long").alias("doc_id"), held_out.alias("held_out"), F.col(text).alias("t")).mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return df.select(F.col(key).cast("long").alias("doc_id"), held_out.alias("held_out"), F.col(text).alias("t")).mapInArrow(tidy(run), "doc_id long, held_out boolean, lang_pred string, score double")

@@ -39,7 +39,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, parts
+from .common import materialize, parts, tidy, tidy_group, tidy_pair
 
 LENGTH = 100
 GRAM = 32
@@ -228,7 +228,7 @@ def cut(df: DataFrame, text: str = "text", key: str = "doc_id", length: int = LE
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array([z.compress(x.as_py() or b"") for x in b.column(3)], pa.binary())], ["b", "o", "th", "z"])
 
-    dealt = docs.select("b", "o", "th", "t").mapInArrow(zipped, "b int, o long, th long, z binary").repartition(n, "b")
+    dealt = docs.select("b", "o", "th", "t").mapInArrow(tidy(zipped), "b int, o long, th long, z binary").repartition(n, "b")
 
     def send(t: pa.Table) -> pa.Table:
         b = t["b"][0].as_py()
@@ -355,8 +355,8 @@ def cut(df: DataFrame, text: str = "text", key: str = "doc_id", length: int = LE
             rows.append((None if bucket.o[k] == NO_ID else int(bucket.o[k]), len(x), gone, spans, digest.hexdigest()))
         return _table(rows, pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]))
 
-    dups = dealt.groupBy("b").applyInArrow(send, _ddl(_SENT)).repartition(ranges, "r").groupBy("r").applyInArrow(meet, _ddl(_DUPS))
-    made = materialize(dealt.groupBy("b").cogroup(dups.groupBy("b")).applyInArrow(contexts, _ddl(_MADE)))
-    judged = made.where("kind = 0").select("k", "b", "blob").repartition(ranges, "k").groupBy("k").applyInArrow(judge, _ddl(_MARK))
+    dups = dealt.groupBy("b").applyInArrow(tidy_group(send), _ddl(_SENT)).repartition(ranges, "r").groupBy("r").applyInArrow(tidy_group(meet), _ddl(_DUPS))
+    made = materialize(dealt.groupBy("b").cogroup(dups.groupBy("b")).applyInArrow(tidy_pair(contexts), _ddl(_MADE)))
+    judged = made.where("kind = 0").select("k", "b", "blob").repartition(ranges, "k").groupBy("k").applyInArrow(tidy_group(judge), _ddl(_MARK))
     marks = made.where("kind = 1").select("b", "blob").unionByName(judged)
-    return dealt.groupBy("b").cogroup(marks.groupBy("b")).applyInArrow(finish, _OUT)
+    return dealt.groupBy("b").cogroup(marks.groupBy("b")).applyInArrow(tidy_pair(finish), _OUT)

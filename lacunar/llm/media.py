@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 WIDTH, HEIGHT, FPS = 64, 16, 25
 FRAME = WIDTH * HEIGHT
 UNIT = 64
@@ -256,7 +258,7 @@ def store(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([encode(pad(x)) for x in _bytes(b.column(1))], pa.binary())], ["doc_id", "media"])
 
-    return df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("b")).mapInArrow(run, "doc_id long, media binary")
+    return df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("b")).mapInArrow(tidy(run), "doc_id long, media binary")
 
 
 def clips(media: DataFrame) -> DataFrame:
@@ -279,7 +281,7 @@ def clips(media: DataFrame) -> DataFrame:
             kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [x.split()[0] for x in CLIPS.split(", ")])
 
-    return media.select(F.col("doc_id").cast("long"), F.col("media")).mapInArrow(run, CLIPS)
+    return media.select(F.col("doc_id").cast("long"), F.col("media")).mapInArrow(tidy(run), CLIPS)
 
 
 def digest(data: bytes) -> tuple:
@@ -305,4 +307,4 @@ def summary(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
             cols = list(zip(*map(digest, _bytes(b.column(1))), strict=True)) or [[]] * 7
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], [x.split()[0] for x in SUMMARY.split(", ")])
 
-    return df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("b")).mapInArrow(run, SUMMARY)
+    return df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("b")).mapInArrow(tidy(run), SUMMARY)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, tidy, tidy_pair
 from .quality import chunked
 
 SIZE = 2048
@@ -30,9 +30,9 @@ PARTITION = 40_000
 #: Bytes of text tokenised at once; the lower-cased words, and words as written,
 #: that a worker remembers: the first it meets, which are the frequent ones.
 CHUNK = 4_000_000
-KNOWN, SEEN = 600_000, 150_000
+KNOWN, SEEN = 300_000, 150_000
 #: Of these, so many stay from one task to the next.
-KEPT = 150_000
+KEPT = 100_000
 
 
 class Words:
@@ -156,7 +156,7 @@ def pieces(df: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id
         try:
             for b in batches:
                 keys, rows, k = b.column(0).to_pylist(), [], 0
-                for part in chunked([x or b"" for x in b.column(1).to_pylist()], CHUNK):
+                for part in chunked((x.as_py() or b"" for x in b.column(1)), CHUNK):
                     ids, at = words.documents(part)
                     data = memoryview(ids.astype("<u4").tobytes())
                     for a, z in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
@@ -169,7 +169,7 @@ def pieces(df: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id
         finally:
             words.forget()
 
-    return df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("t")).mapInArrow(run, PIECES)
+    return df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("t")).mapInArrow(tidy(run), PIECES)
 
 
 def bound(counts: np.ndarray, size: int = SIZE) -> int:
@@ -287,4 +287,4 @@ def pack(found: DataFrame, size: int = SIZE, partition: int = PARTITION) -> Data
     held = dealt.groupBy("b", "length").agg(F.count(F.lit(1)).alias("n"))
     upto = F.sum("n").over(Window.partitionBy("length").orderBy("b"))  # a row for each bucket
     held = materialize(held.select("b", "length", (upto - F.col("n")).alias("before")))  # written, so that both sides are dealt anew by b
-    return dealt.groupBy("b").cogroup(held.groupBy("b")).applyInArrow(_place(rows, size), _PACKED)
+    return dealt.groupBy("b").cogroup(held.groupBy("b")).applyInArrow(tidy_pair(_place(rows, size)), _PACKED)

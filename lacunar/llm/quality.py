@@ -15,7 +15,7 @@ their ids); every text is scored whole. A null or empty text is one empty line.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,12 +23,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import unit_hash
+from .common import tidy, unit_hash
 from .urlfilter import logistic
 
 SAMPLE = 6000
 #: Bytes of text whose features are computed at once.
-CHUNK = 4_000_000
+CHUNK = 1_000_000
 OWN = 15
 FEATURES = 3 * OWN + 1
 
@@ -108,7 +108,7 @@ def features(texts: list[bytes]) -> Lines:
     return Lines(np.concatenate([own, prev, after, np.ones((n, 1))], axis=1), size, docs)
 
 
-def chunked(texts: list[bytes], limit: int = CHUNK) -> Iterator[list[bytes]]:
+def chunked(texts: Iterable[bytes], limit: int = CHUNK) -> Iterator[list[bytes]]:
     part: list[bytes] = []
     size = 0
     for t in texts:
@@ -167,7 +167,7 @@ class Field:
         weight = lines.size + 1e-3
         return np.add.reduceat(weight * (1 - bad), lines.docs[:-1]) / np.add.reduceat(weight, lines.docs[:-1])
 
-    def score(self, texts: list[bytes]) -> np.ndarray:
+    def score(self, texts: Iterable[bytes]) -> np.ndarray:
         q = [self.quality(features(part)) for part in chunked(texts)]
         return 1 / (1 + np.exp(-(self.slope * _logit(np.concatenate(q)) + self.offset))) if q else np.zeros(0)
 
@@ -231,7 +231,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
             cols = list(zip(*out, strict=True)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["k", "y", "x", "size"])
 
-    got = pairs.select(F.col("k").cast("long"), "y", "t").mapInArrow(made, "k long, y int, x binary, size binary").toArrow().to_pylist()
+    got = pairs.select(F.col("k").cast("long"), "y", "t").mapInArrow(tidy(made), "k long, y int, x binary, size binary").toArrow().to_pylist()
     got.sort(key=lambda r: (r["k"], r["x"]))
     if not got:
         return Field(np.zeros(FEATURES), np.zeros((2, 2)))
@@ -246,10 +246,10 @@ def score(df: DataFrame, field: Field, held_out: Column, threshold: float = 0.3,
 
     def run(batches):
         for b in batches:
-            s = shared.value.score([x or b"" for x in b.column(2).to_pylist()])
+            s = shared.value.score(x.as_py() or b"" for x in b.column(2))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32), pa.int32())], ["doc_id", "held_out", "score", "predicted"])
 
-    return df.select(F.col(key).cast("long").alias("doc_id"), held_out.alias("held_out"), F.col(text).cast("binary").alias("t")).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return df.select(F.col(key).cast("long").alias("doc_id"), held_out.alias("held_out"), F.col(text).cast("binary").alias("t")).mapInArrow(tidy(run), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def keep_good(df: DataFrame, field: Field, threshold: float = 0.3, text: str = "text") -> DataFrame:
@@ -259,7 +259,7 @@ def keep_good(df: DataFrame, field: Field, threshold: float = 0.3, text: str = "
 
     def run(batches):
         for b in batches:
-            s = shared.value.score([(x.as_py() or "").encode() for x in b.column(place)])
+            s = shared.value.score((x.as_py() or "").encode() for x in b.column(place))
             yield b.filter(pa.array(s >= threshold))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(tidy(run), df.schema)

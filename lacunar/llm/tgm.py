@@ -39,7 +39,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, parts
+from .common import materialize, parts, tidy, tidy_group, tidy_pair
 from .components import components
 from .lpf import _ddl, _grouped, _pack, _table, _unpack
 
@@ -271,10 +271,10 @@ def join(df: DataFrame, n: int = 3, percent: int = 90, text: str = "text", key:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["b", "h1", "h2", "z"])
 
     ids = ["h1", "h2"]
-    nodes = materialize(docs.mapInArrow(describe, "o long, n long, h1 long, h2 long"))
-    dealt = docs.select("t").mapInArrow(zipped, "b int, h1 long, h2 long, z binary").repartition(buckets, "b")
-    back = dealt.groupBy("b").applyInArrow(_send(n, ranges), _ddl(_SENT)).repartition(ranges, "r").groupBy("r").applyInArrow(_meet, _ddl(_BACK))
-    made = materialize(dealt.groupBy("b").cogroup(back.groupBy("b")).applyInArrow(_prefixes(n, percent, ranges), _MADE))
+    nodes = materialize(docs.mapInArrow(tidy(describe), "o long, n long, h1 long, h2 long"))
+    dealt = docs.select("t").mapInArrow(tidy(zipped), "b int, h1 long, h2 long, z binary").repartition(buckets, "b")
+    back = dealt.groupBy("b").applyInArrow(tidy_group(_send(n, ranges)), _ddl(_SENT)).repartition(ranges, "r").groupBy("r").applyInArrow(tidy_group(_meet), _ddl(_BACK))
+    made = materialize(dealt.groupBy("b").cogroup(back.groupBy("b")).applyInArrow(tidy_pair(_prefixes(n, percent, ranges)), _MADE))
     by_token = Window.partitionBy("token")
     met = made.where("kind = 0").withColumns({"a": F.min(F.struct(*ids)).over(by_token), "y": F.max(F.struct(*ids)).over(by_token)}).where("a <> y").select("token", *ids, "n")
     met = materialize(met)
@@ -302,7 +302,7 @@ def join(df: DataFrame, n: int = 3, percent: int = 90, text: str = "text", key:
     first = nodes.where("n > 0").groupBy(*ids).agg(F.min("o").alias("node"))
     seats = asking.unionByName(living).join(first, ids).join(made.where("kind = 1").select(*ids, "z"), ids)
     dealt = seats.select("g", "part", "query", F.col("node").alias("o"), "z").repartition(parts(df, 16.0), "g", "part").sortWithinPartitions("g", "part", "query", "o")
-    edges = dealt.mapInArrow(_open(n, percent), "a long, b long")
+    edges = dealt.mapInArrow(tidy(_open(n, percent)), "a long, b long")
 
     found = components(edges).withColumnRenamed("node", "_node")
     named = nodes.join(first.select(*ids, "node"), ids, "left")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import unit_hash
+from .common import tidy, unit_hash
 
 ORDER = 5
 DIM = 1 << 19
@@ -151,7 +151,7 @@ def train(labelled: DataFrame) -> Model | None:
             at = np.flatnonzero(seen[k])
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k), pa.int32()), pa.array(at, pa.int32()), pa.array(seen[k][at], pa.int64())], ["k", "slot", "n"])
 
-    got = rows.where("not held").mapInArrow(count, "k int, slot int, n long").groupBy("k", "slot").agg(F.sum("n").alias("n")).toArrow()  # 2 x DIM rows at most
+    got = rows.where("not held").mapInArrow(tidy(count), "k int, slot int, n long").groupBy("k", "slot").agg(F.sum("n").alias("n")).toArrow()  # 2 x DIM rows at most
     seen = np.zeros((2, DIM))
     seen[got["k"].to_numpy(), got["slot"].to_numpy()] = got["n"].to_numpy()
     if not seen.any(axis=1).all():
@@ -164,7 +164,7 @@ def train(labelled: DataFrame) -> Model | None:
             x = np.round(shared.value.ratio(b.column(0).to_pylist()) / BIN)
             yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int32), pa.int32()), b.column(1)], ["x", "accepted"])
 
-    bins = rows.where("held").mapInArrow(score, "x int, accepted boolean").groupBy("x", "accepted").count().toArrow()  # few: |log ratio| <= log(256 + counts)
+    bins = rows.where("held").mapInArrow(tidy(score), "x int, accepted boolean").groupBy("x", "accepted").count().toArrow()  # few: |log ratio| <= log(256 + counts)
     y = np.array(bins["accepted"].to_pylist(), float)
     n = bins["count"].to_numpy().astype(float)
     if 0 < n @ y < n.sum():
@@ -191,7 +191,7 @@ def judge(df: DataFrame, rules: list[Rule], url: str = "url", key: str = "page_i
             said = [("allow" if a else "block") if a is not None else ("allow" if q >= 0.5 else "block") for a, q in zip(b.column(5).to_pylist(), p, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), b.column(4), pa.array(said, pa.string()), pa.array(p, pa.float64())], [x.split()[0] for x in schema.split(", ")])
 
-    return rows.select(F.col("page_id").cast("long"), "host", "path", F.col("url").cast("binary").alias("u"), "rule", "accepted").mapInArrow(run, schema)
+    return rows.select(F.col("page_id").cast("long"), "host", "path", F.col("url").cast("binary").alias("u"), "rule", "accepted").mapInArrow(tidy(run), schema)
 
 
 assert math.log2(DIM).is_integer()
