@@ -36,9 +36,9 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Draws documents to the sources' target weights; a row for each copy taken."""
-    rest = tuple(c for c in docs.columns if c not in ("doc_id",))
-    keep = docs.select("doc_id", *(F.col(c).alias(f"kept_{c}") for c in rest), "text", "source")
-    mixed = mixing.mix(keep, keep=tuple(f"kept_{c}" for c in rest)).where("copies > 0")
+    keep = tuple(c for c in docs.columns if c != "doc_id")
+    named = [F.col(c).alias(f"kept_{c}") for c in keep]  # apart from mix's own columns, such as size
+    mixed = mixing.mix(docs.select("doc_id", "text", "source", *named), keep=tuple(f"kept_{c}" for c in keep)).where("copies > 0")
     rows = mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     return rows.select(*(F.col("doc_id") if c == "doc_id" else F.col(f"kept_{c}").alias(c) for c in docs.columns))
 

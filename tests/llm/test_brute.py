@@ -177,6 +177,21 @@ def test_mixing_sql(docs, rows):
     assert (by.taken <= 2 * by["size"]).all()
 
 
+def test_inclusion_is_unequal_and_ranked_by_pareto_odds(spark):
+    rng = random.Random(8)
+    rows = [(i, "w " * rng.choice([1, 3, 10, 40, 150, 600]), "a" if i % 3 else "b") for i in range(3000)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).toPandas()
+    for _, g in got.groupby("target"):
+        assert abs(g.taken.sum() - g.target.iloc[0]) <= g["size"].max()
+    low = got[got.target == got[got.copies < 2].target.max()]
+    share = low.groupby("size").copies.mean()
+    assert share.loc[600] > share.loc[10] + 0.1  # longer documents are likelier
+    u = {i: (int(hashlib.md5(f"mix:{i}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52 for i in low.doc_id}
+    some = low[low.doc_id.isin(u)]
+    taken, left = some[some.copies == some.copies.max()], some[some.copies == some.copies.min()]
+    assert max(u[i] for i in taken.doc_id) > min(u[i] for i in left.doc_id)  # not the order of the uniform numbers alone
+
+
 def test_pieces(docs, rows):
     from tokenizers import Tokenizer
 
