@@ -149,13 +149,27 @@ def dedup_lines(rows, least=linededup.LEAST):
     for i, t, *_ in rows:
         keep = []
         for line in t.split("\n"):
-            gone = len(line) >= least and any(edits(line, x) <= 1 for x in before)
-            before += [line] * (len(line) >= least)
-            keep += [] if gone else [line]
+            gone = line in before or len(line) >= least and any(len(x) >= least and edits(line, x) <= 1 for x in before)
+            if line.strip(" \t\v\f\r"):
+                before.append(line)
+                keep += [] if gone else [line]
+            else:
+                keep.append(line)
         out[i] = keep
     return out
 
 
+def test_line_dedup_of_short_blank_and_very_long_lines(spark):
+    rng = random.Random(9)
+    long = "".join(rng.choice("abcdef ") for _ in range(200_000))
+    k = 123_456
+    texts = ["same short line\n \n\n" + long, "same short line\n \n\n" + long[:k] + "X" + long[k + 1 :], long[:k] + long[k + 1 :] + "\nsame short lines", long[:7] + "Y" + long[7:], long[:k] + "XX" + long[k + 2 :]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in linededup.dedup(df).collect()}
+    assert got[0] == texts[0] and got[1] == " \n" and got[2] == "same short lines" and got[3] == ""
+    assert got[4] == ""  # one edit from the second text
+
+
 def test_line_dedup(docs, rows):
     want = dedup_lines(rows)
     got = {r["doc_id"]: r for r in linededup.dedup(docs).collect()}
