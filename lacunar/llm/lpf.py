@@ -4,12 +4,10 @@ A byte goes if a string of ``LENGTH`` bytes covers it that also starts earlier:
 in a smaller id, or in the same document further up. Strings are judged on the
 input; matches never cross documents.
 
-``longest_previous_factor`` is the array itself, for one buffer: in suffix
-order, the nearest entries before and after a suffix that start earlier in the
-text give its longest earlier match. Over a corpus only one question matters:
-is that match LENGTH bytes or more? So suffixes are ordered by their first
-LENGTH bytes, ties by position, where the previous smaller position of a
-repeated string is simply the entry before it.
+In suffix order, the nearest entries before and after a suffix that start earlier
+(previous and next smaller position) give its longest earlier match, the longest
+previous factor. ``longest_previous_factor`` is that array for one buffer;
+``repeated`` tells for the windows of a range which of its values reach LENGTH.
 
 Strings meet by content. Each window of LENGTH bytes has an anchor: of the
 ``GRAM``-byte grams inside it the one with the least hash, so that equal windows
@@ -21,8 +19,10 @@ have equal anchors. The windows of one anchor are a run, and its bytes a context
 2. It sends each distinct context of those anchors once, with its earliest
    place; later copies inside the bucket are marked on the spot.
 3. Per range of hashes, equal contexts keep the earliest place; contexts that
-   differ but share an anchor are ordered as suffixes, and every window whose
-   previous smaller position has the same LENGTH bytes is marked.
+   differ but share an anchor are put in suffix order, and every window whose
+   longest previous factor has LENGTH bytes is marked. (Every window of a
+   context that equals an earlier one has such a factor, so these are marked
+   whole and kept once.)
 4. The buckets join the marked places and cut them out.
 
 A null text is empty. A null id is the least id, returned as null. Rows of one
@@ -32,6 +32,7 @@ id are ordered by a hash of their text; equal rows are documents of their own.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -52,61 +53,104 @@ _BYTE = np.array([pow(6364136223846793005, 2 * k + 1, 1 << 64) for k in range(25
 _BASE = 1099511628211
 
 
-def ranks(data: np.ndarray, length: int) -> np.ndarray:
-    """Rank of each position by the order of its first ``length`` bytes (fewer at the end)."""
-    n = len(data)
-    r = data.astype(np.int64) + 1
-    have = 1
+def ranks(data: np.ndarray, length: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(bytes, rank of each position by the order of so many bytes), for 1, 2, 4... up to length or more."""
+    r = np.unique(data, return_inverse=True)[1].astype(np.int64) + 1
+    have, n = 1, len(data)
+    yield have, r
     while have < length and n:
-        step = min(have, length - have)
         after = np.zeros(n, np.int64)
-        after[: max(0, n - step)] = r[step:]
+        after[: max(0, n - have)] = r[have:]
         key = r * (int(r.max()) + 1) + after
         order = np.argsort(key, kind="stable")
-        sorted_ = key[order]
+        key = key[order]
         r = np.empty(n, np.int64)
-        r[order] = np.cumsum(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
-        have += step
-    return r
+        r[order] = np.cumsum(np.concatenate([[True], key[1:] != key[:-1]]))
+        have *= 2
+        yield have, r
+
+
+def smaller_before(a: np.ndarray) -> np.ndarray:
+    """Index of the nearest smaller value before each one, -1 where there is none.
+
+    All values climb a tree of minima together, to the first block on their left
+    that holds a smaller value, and go down to the last such value in it.
+    """
+    n = len(a)
+    size = 1 << max(1, n - 1).bit_length()
+    tree = np.full(2 * size, np.iinfo(np.int64).max)
+    tree[size : size + n] = a
+    k = size
+    while k > 1:
+        tree[k // 2 : k] = np.minimum(tree[k : 2 * k : 2], tree[k + 1 : 2 * k : 2])
+        k //= 2
+    node = np.arange(size, size + n)
+    todo = np.arange(n)
+    while len(todo):
+        at = node[todo]
+        found = (at & 1 == 1) & (tree[at - 1] < a[todo])
+        node[todo[found]] -= 1
+        todo = todo[~found]
+        node[todo] >>= 1
+        todo = todo[node[todo] > 1]
+    node[node == 1] = 0
+    todo = np.flatnonzero((node > 0) & (node < size))
+    while len(todo):
+        right = 2 * node[todo] + 1
+        node[todo] = np.where(tree[right] < a[todo], right, right - 1)
+        todo = todo[node[todo] < size]
+    return np.where(node > 0, node - size, -1)
+
+
+def _neighbours(order: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each suffix, the nearest in suffix order before and after it that starts earlier (or -1)."""
+    n = len(order)
+    before, after = np.full(n, -1), np.full(n, -1)
+    k = smaller_before(place[order])
+    before[order] = np.where(k >= 0, order[k], -1)
+    back = order[::-1]
+    k = smaller_before(place[back])
+    after[back] = np.where(k >= 0, back[k], -1)
+    return before, after
 
 
 def longest_previous_factor(data: bytes) -> np.ndarray:
     """LPF of one text: longest match of each suffix with one that starts earlier."""
     n = len(data)
-    order = np.argsort(ranks(np.frombuffer(data, np.uint8), n), kind="stable").tolist()
+    levels = list(ranks(np.frombuffer(data, np.uint8), n))
+    if not n:
+        return np.zeros(0, np.int64)
+    place = np.arange(n)
     lpf = np.zeros(n, np.int64)
-
-    def match(i: int, j: int, least: int) -> int:
-        while i + least < n and j + least < n and data[i + least] == data[j + least]:
-            least += 1
-        return least
-
-    near: list[list[int]] = [[-1] * n, [-1] * n]
-    for k, seq in enumerate((order, order[::-1])):
-        stack: list[int] = []
-        for i in seq:
-            while stack and stack[-1] > i:
-                stack.pop()
-            near[k][i] = stack[-1] if stack else -1
-            stack.append(i)
-    before, after = 0, 0  # a match with either side shrinks by one at most from place to place
-    for i in range(n):
-        before = match(i, near[0][i], max(0, before - 1)) if near[0][i] >= 0 else 0
-        after = match(i, near[1][i], max(0, after - 1)) if near[1][i] >= 0 else 0
-        lpf[i] = max(before, after)
+    for other in _neighbours(np.argsort(levels[-1][1], kind="stable"), place):
+        match = np.zeros(n, np.int64)
+        for have, r in reversed(levels):
+            a, b = place + match, other + match
+            inside = (other >= 0) & (np.maximum(a, b) + have <= n)
+            match += have * (inside & (r[np.minimum(a, n - 1)] == r[np.clip(b, 0, n - 1)]))
+        lpf = np.maximum(lpf, match)
     return lpf
 
 
 def repeated(data: np.ndarray, starts: np.ndarray, place: np.ndarray, length: int = LENGTH) -> np.ndarray:
-    """Which of the windows at starts have an earlier match of length bytes.
+    """Which of the windows at starts have a longest previous factor of length bytes or more.
 
-    place: rank of each window's true position in the corpus.
+    place: rank of each window's true position in the corpus. Suffixes are put in
+    order by their first bytes (length, up to a power of two); the nearest before
+    and after a suffix that start earlier hold its longest earlier match, of which
+    only whether it has length bytes is looked at.
     """
-    r = ranks(data, length)[starts]
-    order = np.lexsort((place, r))  # suffix order, ties by position
+    for have, r in ranks(data, length):
+        if have <= length:
+            half, short = have, r
+        order = r
+    before, after = _neighbours(np.lexsort((place, order[starts])), place)
     out = np.zeros(len(starts), bool)
-    previous = np.concatenate([[False], r[order][1:] == r[order][:-1]])
-    out[order] = previous
+    tail = length - half
+    for other in (before, after):
+        some = np.flatnonzero(other >= 0)
+        a, b = starts[some], starts[other[some]]
+        out[some] |= (short[a] == short[b]) & (short[a + tail] == short[b + tail])
     return out
 
 

@@ -83,6 +83,25 @@ def test_lpf_array():
         assert lpf.longest_previous_factor(x).tolist() == want
 
 
+def test_nearest_smaller_values():
+    rng = random.Random(3)
+    for n in (1, 2, 3, 17, 200):
+        a = lpf.np.array(rng.sample(range(1000), n))
+        want = [max((j for j in range(i) if a[j] < a[i]), default=-1) for i in range(n)]
+        assert lpf.smaller_before(a).tolist() == want
+
+
+def test_windows_with_a_long_previous_factor():
+    rng = random.Random(4)
+    for length in (1, 3, 4, 7, 100):
+        data = bytes(rng.choice(b"ab") for _ in range(150)) * 2 + bytes(rng.choice(b"ab") for _ in range(60))
+        starts = lpf.np.arange(len(data) - length + 1)
+        place = lpf.np.array(rng.sample(range(len(starts)), len(starts)))
+        win = [data[i : i + length] for i in starts]
+        want = [any(win[j] == win[i] and place[j] < place[i] for j in starts) for i in starts]
+        assert lpf.repeated(lpf.np.frombuffer(data, lpf.np.uint8), starts, place, length).tolist() == want
+
+
 def test_repeated_strings(docs, rows):
     got = {r["doc_id"]: r for r in lpf.cut(docs).collect()}
     seen, removed = set(), 0
