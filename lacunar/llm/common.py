@@ -10,6 +10,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,7 +72,28 @@ def parts(df: DataFrame, per_part_mb: float = 16.0, least: int = 8) -> int:
     sizes = [int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size())]
     if not sizes or max(sizes) >= 1 << 60:
         return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, min(20_000, math.ceil(sum(sizes) / (per_part_mb * 1e6))))
+    return max(least, math.ceil(sum(sizes) / (per_part_mb * 1e6)))
+
+
+def _hash_int(x: np.ndarray) -> np.ndarray:
+    """Spark's hash of an int column (32-bit Murmur3 with seed 42), by which it deals rows."""
+    turn = lambda v, k: v << np.uint32(k) | v >> np.uint32(32 - k)
+    v = turn(x.astype(np.uint32) * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593)
+    h = turn(np.uint32(42) ^ v, 13) * np.uint32(5) + np.uint32(0xE6546B64) ^ np.uint32(4)
+    for shift, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+        h = (h ^ h >> np.uint32(shift)) * np.uint32(factor)
+    return (h ^ h >> np.uint32(16)).astype(np.int32)
+
+
+def labels(n: int) -> np.ndarray:
+    """n int labels, of which repartition(n, label) deals each to a partition of its own."""
+    out = np.full(n, -1, np.int32)
+    start, step = 0, 4 * n + 64
+    while (out < 0).any():
+        x = np.arange(start, start + step, dtype=np.int32)
+        out[_hash_int(x).astype(np.int64) % n] = x
+        start += step
+    return out
 
 
 def _release() -> None:

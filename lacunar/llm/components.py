@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 
-def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of edges (a, b long); component: the least node reached.
 
     Alternating large-star and small-star: each round first links the larger
@@ -17,7 +17,7 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     its minimum, so that a hub of any degree costs one row for each edge.
     """
     now = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    for _ in range(rounds):
+    while True:  # nodes of every component get nearer to its least one
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()

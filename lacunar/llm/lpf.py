@@ -40,7 +40,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, parts, tidy, tidy_group, tidy_pair
+from .common import labels, materialize, parts, tidy, tidy_group, tidy_pair
 
 LENGTH = 100
 GRAM = 32
@@ -265,12 +265,13 @@ def cut(df: DataFrame, text: str = "text", key: str = "doc_id", length: int = LE
     docs = df.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("o"), F.col(text).cast("binary").alias("t"))
     n = parts(df, BUCKET_MB)
     ranges = 4 * n
+    bucket, range_ = labels(n), labels(ranges)  # a partition for each
     docs = docs.withColumn("th", F.xxhash64("t")).withColumn("b", F.pmod(F.xxhash64("o", "th"), F.lit(n)).cast("int"))
 
     def zipped(batches):
         z = zstandard.ZstdCompressor(3)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array([z.compress(x.as_py() or b"") for x in b.column(3)], pa.binary())], ["b", "o", "th", "z"])
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[b.column(0).to_numpy()]), b.column(1), b.column(2), pa.array([z.compress(x.as_py() or b"") for x in b.column(3)], pa.binary())], ["b", "o", "th", "z"])
 
     dealt = docs.select("b", "o", "th", "t").mapInArrow(tidy(zipped), "b int, o long, th long, z binary").repartition(n, "b")
 
@@ -278,7 +279,7 @@ def cut(df: DataFrame, text: str = "text", key: str = "doc_id", length: int = LE
         b = t["b"][0].as_py()
         found = [runs(np.frombuffer(data, np.uint8), ends, length)[0] for _, data, ends in _Bucket(t).parts()]
         h, times = np.unique(np.concatenate(found), return_counts=True)
-        rows = [(r, b, h[i][times[i] == 1].tobytes(), h[i][times[i] > 1].tobytes()) for r, i in _grouped(_range(h, ranges))]
+        rows = [(r, b, h[i][times[i] == 1].tobytes(), h[i][times[i] > 1].tobytes()) for r, i in _grouped(range_[_range(h, ranges)])]
         return _table(rows, _SENT)
 
     def meet(t: pa.Table) -> pa.Table:
@@ -324,7 +325,7 @@ def cut(df: DataFrame, text: str = "text", key: str = "doc_id", length: int = LE
             rows.append((1, b, b, _pack(bucket.o[i], bucket.tie[i], np.array(marks[1]), np.array(marks[2]))))
         h = np.array(first[0], np.uint64)
         i, s, e = (np.array(x, np.int64) for x in first[1:4])
-        for r, j in _grouped(_range(h, ranges)):
+        for r, j in _grouped(range_[_range(h, ranges)]):
             rows.append((0, r, b, _pack(h[j], bucket.o[i[j]], bucket.tie[i[j]], s[j], e[j], np.frombuffer(b"".join(first[4][x] for x in j.tolist()), np.uint8))))
         return _table(rows, _MADE)
 

@@ -39,7 +39,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, parts, tidy, tidy_group, tidy_pair
+from .common import labels, materialize, parts, tidy, tidy_group, tidy_pair
 from .components import components
 from .lpf import _ddl, _grouped, _pack, _table, _unpack
 
@@ -249,6 +249,7 @@ def join(df: DataFrame, n: int = 3, percent: int = 90, text: str = "text", key:
     docs = df.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("o"), F.col(text).cast("binary").alias("t"))
     buckets = parts(df, BUCKET_MB)
     ranges = 4 * buckets
+    bucket = labels(buckets)  # a partition for each
 
     def describe(batches):
         for b in batches:
@@ -266,7 +267,7 @@ def join(df: DataFrame, n: int = 3, percent: int = 90, text: str = "text", key:
                 if len(s) and (h := _digest(s)) not in seen:  # copies in one task go once
                     if len(seen) < 1_000_000:
                         seen.add(h)
-                    rows.append((h[0] % buckets, *h, z.compress(t)))
+                    rows.append((int(bucket[h[0] % buckets]), *h, z.compress(t)))
             cols = list(zip(*rows, strict=True)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["b", "h1", "h2", "z"])
 
@@ -312,12 +313,20 @@ def join(df: DataFrame, n: int = 3, percent: int = 90, text: str = "text", key:
 
 
 def one_of_each(df: DataFrame, n: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The rows of df whose id is the least of its component, one row for each id.
+    """The rows of df that are the first of their component, by id, then a hash of the text.
 
-    Rows without an id have nothing to be told apart by and stay.
+    Rows equal in id and text are one document, of which one stays. Rows of one
+    id and different texts are documents of their own. Rows without an id have
+    nothing to be told apart by and stay.
     """
-    known = df.where(F.col(key).isNotNull())
-    stays = join(known, n, percent, text, key).where("doc_id = component_id").select(F.col("doc_id").alias("__near_id")).distinct()
-    same = Window.partitionBy("__near_id").orderBy(F.xxhash64(F.col(text)))
-    kept = known.join(stays, F.col(key) == F.col("__near_id")).withColumn("__near_row", F.row_number().over(same)).where("__near_row = 1")
+    rows = df.where(F.col(key).isNotNull()).withColumn("__near_th", F.xxhash64(F.col(text))).withColumn("__near_id", F.col(key).cast("long"))
+    texts = rows.groupBy("__near_id").agg(F.min("__near_th").alias("a"), F.max("__near_th").alias("z"))
+    if not texts.where("a <> z").isEmpty():  # ids do not tell texts apart: number them in order
+        order = rows.select("__near_id", "__near_th").distinct().repartitionByRange("__near_id").sortWithinPartitions("__near_id", "__near_th")
+        order = materialize(order.withColumn("__near_no", F.monotonically_increasing_id()))
+        rows = rows.join(order, ["__near_id", "__near_th"]).drop("__near_id").withColumnRenamed("__near_no", "__near_id")
+    found = join(rows, n, percent, text, "__near_id")
+    stays = found.where("doc_id = component_id").select(F.col("doc_id").alias("__near_stays")).distinct()
+    kept = rows.join(stays, F.col("__near_id") == F.col("__near_stays"))
+    kept = kept.withColumn("__near_row", F.row_number().over(Window.partitionBy("__near_id").orderBy("__near_th"))).where("__near_row = 1")
     return kept.select(*df.columns).unionByName(df.where(F.col(key).isNull()))

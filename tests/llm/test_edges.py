@@ -7,8 +7,9 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from lacunar.llm import fingerprint, langid, linededup, lpf, media, mixing, packing, quality, queries, tgm, urlfilter
+from lacunar.llm import common, fingerprint, langid, linededup, lpf, media, mixing, packing, quality, queries, tgm, urlfilter
 from lacunar.llm.common import crc_mod
+from lacunar.llm.components import components
 
 DDL = "doc_id long, text string, lang string, source string, n_chars long, size int, b int, o string, th string, u double, at int, first string, _t string, _row int, n_lines int, copies int"
 WORDS = "the of and to in is that for it with as was on be by his this are from at".split()
@@ -107,10 +108,33 @@ def test_one_of_each_drops_copies_and_keeps_rows_without_id(docs):
     got = tgm.one_of_each(docs)
     assert got.columns == docs.columns
     ids = [r["doc_id"] for r in got.collect()]
-    assert ids.count(None) == 2 and ids.count(1) == 1 and ids.count(2) == 0 and ids.count(5) == 1 and ids.count(6) == 0
+    assert ids.count(None) == 2 and ids.count(1) == 1 and ids.count(2) == 0 and ids.count(9) == 2 and ids.count(5) == 1 and ids.count(6) == 0
     assert {3, 4, 7, 8, 9, 1 << 62} <= set(ids)
 
 
+def test_rows_of_one_id_and_other_texts_stay(spark):
+    rng = random.Random(12)
+    a, c = _text(rng, 60), _text(rng, 60)
+    df = spark.createDataFrame([(1, a), (1, c), (1, c), (2, c + " end"), (3, a)], "doc_id long, text string")
+    assert sorted(map(tuple, tgm.one_of_each(df).collect())) == sorted([(1, a), (1, c)])
+
+
+def test_labels_deal_a_partition_to_each(spark):
+    for n in (1, 7, 64):
+        found = common.labels(n)
+        got = spark.createDataFrame([(int(x),) for x in found], "b int").repartition(n, "b").select("b", F.spark_partition_id().alias("p")).collect()
+        assert {r["p"] for r in got} == set(range(n)) and [r["b"] for r in sorted(got, key=lambda r: r["p"])] == found.tolist()
+
+
+def test_components_of_a_long_chain(spark):
+    n = 300
+    order = list(range(n))
+    random.Random(1).shuffle(order)
+    edges = spark.createDataFrame(list(zip(order, order[1:], strict=False)), "a long, b long")
+    got = components(edges).collect()
+    assert {r["component"] for r in got} == {0} and len(got) == n
+
+
 def test_urls(spark):
     from lacunar.llm.queries import RULES
 
