@@ -6,6 +6,7 @@ tables or blobs of bounded size that a narrow pass scores all points with.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import pickle
 
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numeric
 from .scores import contamination, minmax
+from .store import stored
 
 NODES = "tree_id int, node_id int, left int, right int, normal array<double>, point array<double>, size int, depth int, is_leaf boolean"
 
@@ -94,13 +96,15 @@ def isolation_forest(points: DataFrame, trees: int = 100, size: int | None = Non
     return forest_scores(points, forest(points, trees, size, level, seed=seed), size, share)
 
 
-def _bounded(points: DataFrame, most: int, seed: str) -> pd.DataFrame:
-    """At most so many rows, those of least hash, on the driver."""
-    return points.withColumn("_h", hashed(seed, "id")).orderBy("_h", "id").limit(most).drop("_h").toPandas()
+def _bounded(points: DataFrame, most: int | None, seed: str) -> pd.DataFrame:
+    """At most so many rows (None: all), those of least hash, on the driver, in order of the hash."""
+    rows = points.withColumn("_h", hashed(seed, "id"))
+    rows = rows.orderBy("_h", "id").limit(most) if most is not None else rows
+    return rows.toPandas().sort_values(["_h", "id"]).drop(columns="_h")
 
 
-def one_class_svm(points: DataFrame, nu: float = 0.5, share: float = 0.1, kind: str = "rbf", gamma: float | None = None, degree: int = 3, coef0: float = 0.0, most: int = 1500, seed: str = "osvm") -> DataFrame:
-    """(id, raw, score, pred) of a one-class machine fitted on a bounded sample."""
+def one_class_svm(points: DataFrame, nu: float = 0.5, share: float = 0.1, kind: str = "rbf", gamma: float | None = None, degree: int = 3, coef0: float = 0.0, most: int | None = 1500, seed: str = "osvm") -> DataFrame:
+    """(id, raw, score, pred) of a one-class machine fitted on a sample of ``most`` points; None: exactly, on all of them."""
     x = np.stack(_bounded(points, most, seed).features).astype(float)
     g = gamma or 1.0 / x.shape[1]
     a, rho = numeric.one_class(numeric.kernel(x, x, kind, g, degree, coef0), nu)
@@ -170,14 +174,15 @@ def bagging_forest(points: DataFrame, k: int = 200, rounds: int = 10, trees: int
     return v.withColumn("pred", (F.col("prob") > 0.5).cast("int"))
 
 
-def ssad(points: DataFrame, share: float = 0.1, kappa: float = 1.0, cu: float = 1.0, cl: float = 1.0, kind: str = "rbf", width: float = 1.0, most: int = 1000, seed: str = "ssad") -> DataFrame:
+def ssad(points: DataFrame, share: float = 0.1, kappa: float = 1.0, cu: float = 1.0, cl: float = 1.0, kind: str = "rbf", width: float = 1.0, unlabelled: int = 1000, most: int | None = None, seed: str = "ssad") -> DataFrame:
     """(id, raw, score, pred) of convex semi-supervised detection.
 
-    Fitted on the labelled points (label 1 anomaly, -1 normal) and at most
-    ``most`` others; labels are turned round, since the machine encloses the
+    Fitted on all labelled points (label 1 anomaly, -1 normal), or of each label
+    those ``most`` of least hash, and on ``unlabelled`` others, as the detector
+    is defined; labels are turned round, since the machine encloses the
     normal ones, and points are scored by the support vectors alone.
     """
-    pdf = pd.concat([_bounded(points.where("label <> 0"), most, seed), _bounded(points.where("label = 0"), most, seed)])
+    pdf = pd.concat([_bounded(points.where(f"label = {y}"), n, seed) for y, n in ((1, most), (-1, most), (0, unlabelled))])
     x, y = np.stack(pdf.features).astype(float), -pdf.label.to_numpy().astype(float)
     gamma = 1.0 / width
     w, rho = numeric.ssad(numeric.kernel(x, x, kind, gamma), y, kappa, cl, cu, cl)
@@ -231,13 +236,15 @@ def posterior(scored: DataFrame, labelled: DataFrame, eta: float, alpha: float =
     return out.select("id", ((F.col("prior") + alpha * F.col("da")) / (1 + alpha * (F.col("da") + F.col("dn")))).alias("score"))
 
 
-def cluster_prior(points: DataFrame, clusters: int = 10, tol: float = 1e-8, most: int = 2000, seed: str = "cop") -> DataFrame:
+def cluster_prior(points: DataFrame, clusters: int = 10, tol: float = 1e-8, most: int | None = 2000, seed: str = "cop") -> DataFrame:
     """(id, prior) from constrained clusters: how far out, of how small and remote a cluster.
 
-    Centres come from a bounded sample, where anomalies and normals may not
-    share a cluster; sizes and radii are those of all points.
+    Centres come from all labelled points, of which anomalies and normals may not
+    share a cluster, and of the others the ``most`` of least hash (None: all);
+    sizes and radii are those of all points.
     """
-    pdf = _bounded(points, most, seed).reset_index(drop=True)
+    pdf = pd.concat([_bounded(points.where("label <> 0"), None, seed), _bounded(points.where("label = 0"), most, seed)])
+    pdf = pdf.assign(_h=[hashlib.md5(f"{seed}:{i}".encode()).hexdigest() for i in pdf.id]).sort_values(["_h", "id"]).reset_index(drop=True)
     x = np.stack(pdf.features).astype(float)
     bad, good = np.flatnonzero(pdf.label == 1), np.flatnonzero(pdf.label == -1)
     _, c = numeric.kmeans(x, clusters, apart=[(int(i), int(j)) for i in bad for j in good])
@@ -274,7 +281,7 @@ def semi_supervised(points: DataFrame, clusters: int = 10, alpha: float = 2.3, k
         first = minmax(prior.select("id", F.col("score").alias("prior")), ["prior"], [])
     else:
         raise ValueError("base is clusters, IF or other")
-    first = first.cache()  # (id, prior), read three times
+    first = stored(first)  # (id, prior), read three times
     ranked = contamination(first, share, [], "prior")
     gamma = ranked.where("pred = 1").agg(F.min("prior").alias("g"))  # the value at the contamination's position
     prior_ = first.crossJoin(F.broadcast(gamma)).select("id", (1 - F.pow(F.lit(2.0), -F.pow(F.col("prior") / (F.col("g") + tol), F.lit(2.0)))).alias("prior"))

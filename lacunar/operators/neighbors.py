@@ -47,15 +47,23 @@ def distances(x: np.ndarray, y: np.ndarray, metric: str = "euclidean", p: float
     return out
 
 
-def _blocks(points: DataFrame, name: str, size: int) -> DataFrame:
-    n = max(1, -(-points.count() // size))
-    b = F.pmod(F.xxhash64("id"), F.lit(n))
-    return points.groupBy(b.alias(f"b{name}")).agg(F.collect_list("id").alias(f"ids{name}"), F.collect_list("features").alias(f"x{name}"))
+def _blocks(points: DataFrame, name: str, size: int, by: str | None = None) -> DataFrame:
+    b = F.pmod(F.xxhash64("id"), F.lit(max(1, -(-points.count() // size))))
+    if by:  # so many blocks for each group
+        n = points.groupBy(by).agg(F.ceil(F.count(F.lit(1)) / size).alias("_n"))
+        points, b = points.join(n, by), F.pmod(F.xxhash64("id"), F.col("_n"))
+    return points.groupBy(b.alias(f"b{name}"), *([by] if by else [])).agg(F.collect_list("id").alias(f"ids{name}"), F.collect_list("features").alias(f"x{name}"))
 
 
-def knn(points: DataFrame, queries: DataFrame, k: int, metric: str = "euclidean", exclude_self: bool = True, block: int = BLOCK) -> DataFrame:
-    """(id, other, d, rank 1..k): the k nearest points of every query, ties by id."""
-    tiles = _blocks(queries, "q", block).crossJoin(_blocks(points, "p", block))  # pairs of blocks, not of rows
+def knn(points: DataFrame, queries: DataFrame, k: int, metric: str = "euclidean", exclude_self: bool = True, block: int = BLOCK, by: str | None = None) -> DataFrame:
+    """(id, other, d, rank 1..k): the k nearest points of every query, ties by id.
+
+    by: a string column; only points of a query's own group are its neighbours,
+    and the group is returned too.
+    """
+    a, b = _blocks(queries, "q", block, by), _blocks(points, "p", block, by)
+    tiles = a.join(b, by) if by else a.crossJoin(b)  # pairs of blocks, not of rows
+    key = [by] if by else []
 
     def tile(batches):
         for pdf in batches:
@@ -69,34 +77,38 @@ def knn(points: DataFrame, queries: DataFrame, k: int, metric: str = "euclidean"
                 order = np.lexsort((np.broadcast_to(ip, d.shape), d), axis=1)[:, :m]
                 got = np.take_along_axis(d, order, axis=1)
                 out = pd.DataFrame({"id": np.repeat(iq, m), "other": ip[order].ravel(), "d": got.ravel()})
+                if by:
+                    out[by] = getattr(r, by)
                 yield out[np.isfinite(out.d)]
 
     # a partition for every tile or so: tiles are few and heavy
-    best = tiles.mapInPandas(tile, "id long, other long, d double")
-    rank = F.row_number().over(Window.partitionBy("id").orderBy("d", "other"))
+    best = tiles.mapInPandas(tile, "id long, other long, d double" + (f", {by} string" if by else ""))
+    rank = F.row_number().over(Window.partitionBy("id", *key).orderBy("d", "other"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def knno(points: DataFrame, k: int = 10, share: float = 0.1, metric: str = "euclidean", queries: DataFrame | None = None) -> DataFrame:
+def knno(points: DataFrame, k: int = 10, share: float = 0.1, metric: str = "euclidean", queries: DataFrame | None = None, by: str | None = None) -> DataFrame:
     """(id, score, pred): scaled distance to the k-th nearest neighbour.
 
     A point is not its own neighbour; k is at least 2. queries: score these
-    against points instead.
+    against points instead. by: each group of this column on its own.
     """
-    near = knn(points, points if queries is None else queries, max(2, k), metric, exclude_self=queries is None)
-    kth = near.where(F.col("rank") == max(2, k)).select("id", F.col("d").alias("score"))
-    return contamination(minmax(kth, ["score"], []), share, [])
+    key = [by] if by else []
+    near = knn(points, points if queries is None else queries, max(2, k), metric, exclude_self=queries is None, by=by)
+    kth = near.where(F.col("rank") == max(2, k)).select(*key, "id", F.col("d").alias("score"))
+    return contamination(minmax(kth, ["score"], key), share, key)
 
 
-def lof(points: DataFrame, k: int = 10, share: float = 0.1, metric: str = "euclidean") -> DataFrame:
+def lof(points: DataFrame, k: int = 10, share: float = 0.1, metric: str = "euclidean", by: str | None = None) -> DataFrame:
     """(id, lof, score, pred): local outlier factor; a point counts among its own neighbours."""
-    near = knn(points, points, k, metric, exclude_self=False)
-    kdist = near.where(F.col("rank") == k).select(F.col("id").alias("other"), F.col("d").alias("kd"))
-    reach = near.join(kdist, "other").groupBy("id").agg(F.avg(F.greatest("d", "kd")).alias("reach"))
-    density = reach.select("id", (1 / (F.col("reach") + 1e-10)).alias("lrd"))
-    other = density.select(F.col("id").alias("other"), F.col("lrd").alias("olrd"))
-    out = near.join(other, "other").join(density, "id").groupBy("id").agg(F.avg(F.col("olrd") / F.col("lrd")).alias("lof"))
-    return contamination(minmax(out.withColumn("score", F.col("lof")), ["score"], []), share, [])
+    key = [by] if by else []
+    near = knn(points, points, k, metric, exclude_self=False, by=by)
+    kdist = near.where(F.col("rank") == k).select(*key, F.col("id").alias("other"), F.col("d").alias("kd"))
+    reach = near.join(kdist, [*key, "other"]).groupBy(*key, "id").agg(F.avg(F.greatest("d", "kd")).alias("reach"))
+    density = reach.select(*key, "id", (1 / (F.col("reach") + 1e-10)).alias("lrd"))
+    other = density.select(*key, F.col("id").alias("other"), F.col("lrd").alias("olrd"))
+    out = near.join(other, [*key, "other"]).join(density, [*key, "id"]).groupBy(*key, "id").agg(F.avg(F.col("olrd") / F.col("lrd")).alias("lof"))
+    return contamination(minmax(out.withColumn("score", F.col("lof")), ["score"], key), share, key)
 
 
 def hyperspheres(points: DataFrame, members: int, n: int, seed: str = "iNNe", metric: str = "euclidean") -> DataFrame:

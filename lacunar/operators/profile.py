@@ -1,19 +1,23 @@
 """Matrix profiles: nearest z-normalised subsequence of a series.
 
-Pairs (i, i + lag) are dealt by series and lag; the dot product of two
-subsequences is a moving sum of products along a lag, so each pair costs one
-window row and no pair is compared twice. One row for each start and end then
-takes the minimum.
+The profile works on tiles, pairs of blocks of windows, whose minima alone leave
+a task. Where all pairs are the result, pairs (i, i + lag) are dealt by series and
+lag; the dot product of two subsequences is a moving sum of products along a lag.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scores import contamination, minmax
 from .series import ahead
 
+#: Windows of a block.
+BLOCK = 1024
+
 
 def rolling_stats(df: DataFrame, m: int, ddof: int = 1) -> DataFrame:
     """(series_id, idx, mu, sd) of full windows; deviations under 1e-8 are 0."""
@@ -55,11 +59,53 @@ def pairs(df: DataFrame, m: int, ddof: int = 1, split: int | None = None) -> Dat
     return out.select("series_id", "idx", "other", "a_free", "b_free", _distance(F.col("qt"), m, ddof).alias("d"))
 
 
-def matrix_profile(df: DataFrame, m: int, ddof: int = 1, split: int | None = None) -> DataFrame:
-    """(series_id, idx, mp): distance to the nearest other window."""
-    p = pairs(df, m, ddof, split)
-    ends = p.select("series_id", F.explode(F.array(F.struct("idx", F.when(F.col("a_free"), F.col("d")).alias("d")), F.struct(F.col("other").alias("idx"), F.when(F.col("b_free"), F.col("d")).alias("d")))).alias("x"))
-    return ends.groupBy("series_id", "x.idx").agg(F.min("x.d").alias("mp"))
+def _tile(m: int, ddof: int, split: int | None):
+    """Least distances of the windows of two blocks of one series to each other."""
+
+    def windows(v, start):
+        w = np.lib.stride_tricks.sliding_window_view(np.asarray(v, float), m) if len(v) >= m else np.zeros((0, m))
+        x = w - w.mean(1, keepdims=True)
+        sd = np.sqrt((x * x).sum(1) / (m - ddof))
+        flat = sd < 1e-8
+        return x / np.where(flat, 1.0, sd)[:, None], flat, start + np.arange(len(w))
+
+    def least(d, i, j, key):
+        far = (j[None, :] < np.round(i - m / 2)[:, None]) | (j[None, :] >= np.round(i + m / 2 + 1)[:, None])
+        if split is not None:
+            far &= (i <= split)[:, None] != (j <= split)[None, :]
+        mp = np.where(far, d, np.inf).min(1, initial=np.inf)
+        keep = np.isfinite(mp)
+        return pd.DataFrame({"series_id": key[0], "idx": i[keep], "mp": mp[keep]})
+
+    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("block")
+        (x, fx, i), (y, fy, j) = (windows(r.v, r.start) for r in (pdf.iloc[0], pdf.iloc[-1]))
+        d = np.sqrt(np.maximum(0.0, 2 * (m - x @ y.T)))
+        d = np.where(fx[:, None] & fy[None, :], 0.0, np.where(fx[:, None] | fy[None, :], np.sqrt(float(m - ddof)), d))
+        out = least(d, i, j, key)
+        return out if key[1] == key[2] else pd.concat([out, least(d.T, j, i, key)])
+
+    return run
+
+
+def matrix_profile(df: DataFrame, m: int, ddof: int = 1, split: int | None = None, block: int = BLOCK) -> DataFrame:
+    """(series_id, idx, mp): distance to the nearest other window outside the exclusion zone.
+
+    Windows are dealt into blocks of ``block`` starts; each pair of blocks of a
+    series is one tile, in which NumPy takes all products at once and of which
+    only a row for each window leaves. So n windows ship n * n / block rows.
+    split: only pairs on either side of it.
+    """
+    b = F.floor(F.col("idx") / block)
+    also = F.when((F.col("idx") % block < m - 1) & (b > 0), F.array(b, b - 1)).otherwise(F.array(b))
+    blocks = df.select("series_id", "idx", "value", F.explode(also).alias("block")).groupBy("series_id", "block")
+    blocks = blocks.agg(F.array_sort(F.collect_list(F.struct("idx", "value"))).alias("x"))  # block + m - 1 values
+    blocks = blocks.select("series_id", "block", F.col("x")[0]["idx"].alias("start"), F.transform("x", lambda x: x["value"].cast("double")).alias("v"))
+    last = blocks.groupBy("series_id").agg(F.max("block").alias("last"))
+    each = blocks.join(last, "series_id").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))))
+    tiles = each.select("series_id", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "start", "v")
+    found = tiles.groupBy("series_id", "p", "q").applyInPandas(_tile(m, ddof, split), "series_id string, idx long, mp double")
+    return found.groupBy("series_id", "idx").agg(F.min("mp").alias("mp"))
 
 
 def distance_profile(df: DataFrame, query: DataFrame, m: int, ddof: int = 1) -> DataFrame:

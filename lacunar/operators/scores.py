@@ -9,9 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .store import stored
+
 
 def _over(keys: list[str]):
-    return Window.partitionBy(*(keys or [F.lit(0)]))
+    return Window.partitionBy(*keys)
 
 
 def _stats(df: DataFrame, keys: list[str], **aggs: Column) -> DataFrame:
@@ -43,18 +45,51 @@ def robust(df: DataFrame, cols: list[str], keys: list[str]) -> DataFrame:
     return out.withColumns({c: (F.col(c) - F.col(f"_q_{c}")[1]) / F.when(iqr(c) > 0, iqr(c)).otherwise(1.0) for c in cols}).drop(*aggs)
 
 
+BINS = 4096
+
+
+def order_statistic(df: DataFrame, col: str, share: float) -> float | None:
+    """The value at position int(n * share) of the sorted column, the last one at most; None if it is null.
+
+    Exact and without a sort: counts over BINS ranges of values tell the range
+    that holds the position, which is cut again until it holds one value. Each
+    round is a grouped count with BINS + 1 rows; nulls come first.
+    """
+    x = F.col(col).cast("double")
+    top = df.agg(F.count(F.lit(1)), F.count(x), F.min(x), F.max(x)).first()
+    rows, known, low, high = top
+    at = min(int(rows * share), rows - 1) - (rows - known)
+    if at < 0:
+        return None
+    while low < high:
+        bin_ = F.when(x >= high, BINS).otherwise(F.least(F.floor((x - low) / F.lit(high - low) * BINS), F.lit(BINS - 1)))
+        got = df.where((x >= low) & (x <= high)).groupBy(bin_.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.min(x).alias("a"), F.max(x).alias("z"))
+        for r in sorted(got.collect(), key=lambda r: r["bin"]):  # BINS + 1 rows at most
+            if at < r["n"]:
+                low, high = r["a"], r["z"]
+                break
+            at -= r["n"]
+    return low
+
+
 def contamination(df: DataFrame, share: float, keys: list[str], score: str = "score", name: str = "pred") -> DataFrame:
     """Labels 1 at or above the value at position int(n * (1 - share)) of the sorted scores, else -1.
 
     The position is an exact order statistic, clamped to the last one. Ties of
-    the value all get 1, so at least n - int(n * (1 - share)) rows do.
+    the value all get 1, so at least n - int(n * (1 - share)) rows do. Without
+    keys the scores are written once and counted by ranges, since no task could
+    sort them all; with keys a window sorts each group.
     """
+    if not keys:
+        df = stored(df)
+        value = order_statistic(df, score, 1 - share)
+        return df.withColumn(name, F.when(F.col(score) >= F.lit(value).cast("double"), 1).otherwise(-1))
     n = F.count(F.lit(1)).over(_over(keys))
     rank = F.row_number().over(_over(keys).orderBy(score))
     at = F.least(F.floor(n * (1 - share)) + 1, n)
     ranked = df.withColumn("_at", at).withColumn("_rank", rank)
-    value = ranked.where(F.col("_rank") == F.col("_at")).select(*keys, F.col(score).alias("_t"))
-    out = ranked.join(value, keys) if keys else ranked.crossJoin(F.broadcast(value))  # one row
+    value = F.max(F.when(F.col("_rank") == F.col("_at"), F.col(score))).over(_over(keys))  # of the same pass, so that equal scores stay equal
+    out = ranked.withColumn("_t", value)
     return out.withColumn(name, F.when(F.col(score) >= F.col("_t"), 1).otherwise(-1)).drop("_at", "_rank", "_t")
 
 

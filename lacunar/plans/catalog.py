@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FLAGSHIP = "absence_suspicion"
-MODULES = ("q_series", "q_features", "q_distances", "q_detectors", "q_estimators")
+MODULES = ("q_series", "q_features", "q_distances", "q_detectors", "q_estimators", "q_sources")
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}

@@ -366,33 +366,45 @@ class AverageMissing(AbsenceDetector):
 
 
 class ADBase(Params):
-    """A point detector on segment features, one series per table."""
+    """A point detector on segment features; each series is judged on its own."""
 
     defaults = {"features": "stat_time", "k": 10, "ws": 24, "missing_classifier": "kNNo", "missing_alpha": 0.9, "warping_width": 0.1, "n_clusters": 10}
 
     def fit_predict(self, df: DataFrame) -> DataFrame:
-        """(idx, score, pred); the last ws - 1 rows, which start no full segment, have score 0 and pred -1."""
+        """(series_id, idx, score, pred); the last ws - 1 rows, which start no full segment, have score 0 and pred -1.
+
+        kNNo and LOF take any number of series; the others fit one model, and so
+        want one series.
+        """
         from ..operators import ensemble, neighbors
 
         share = 1 - self.missing_alpha
         ranges = series.pattern_ranges(df)
         templates = shape_templates(df, ranges, self.n_clusters) if "shape" in BLOCKS[self.features] else None
-        rows = scale_features(features(df, self.ws, self.features, templates, self.warping_width)).select(F.col("idx").alias("id"), "features")
-        pts = rows.withColumn("label", F.lit(0))
-        if self.missing_classifier in ("semi_supervised", "SSAD"):
-            lab = series.label_segments(df.select("series_id", "idx"), ranges, self.ws).select(F.col("idx").alias("id"), F.when(F.col("label") == 1, -1).otherwise(0).alias("label"))
-            pts = rows.join(lab, "id")
-        run = {
-            "kNNo": lambda: neighbors.knno(pts, self.k, share),
-            "LOF": lambda: neighbors.lof(pts, self.k, share),
-            "IF": lambda: ensemble.isolation_forest(pts, share=share),
-            "semi_supervised": lambda: ensemble.semi_supervised(pts, share=share, base="IF"),
-            "SSAD": lambda: ensemble.ssad(pts, share=share),
+        rows = scale_features(features(df, self.ws, self.features, templates, self.warping_width)).select("series_id", F.col("idx").alias("id"), "features")
+        by = {
+            "kNNo": lambda: neighbors.knno(rows, self.k, share, by="series_id"),
+            "LOF": lambda: neighbors.lof(rows, self.k, share, by="series_id"),
         }
-        if self.missing_classifier not in run:
+        alone = {
+            "IF": lambda pts: ensemble.isolation_forest(pts, share=share),
+            "semi_supervised": lambda pts: ensemble.semi_supervised(pts, share=share, base="IF"),
+            "SSAD": lambda pts: ensemble.ssad(pts, share=share),
+        }
+        if self.missing_classifier in by:
+            got = by[self.missing_classifier]()
+        elif self.missing_classifier in alone:
+            names = [r[0] for r in df.select("series_id").distinct().limit(2).collect()]
+            if len(names) > 1:
+                raise ValueError(f"{self.missing_classifier} takes one series")
+            lab = series.label_segments(df.select("series_id", "idx"), ranges, self.ws).select(F.col("idx").alias("id"), F.when(F.col("label") == 1, -1).otherwise(0).alias("label"))
+            pts = rows.join(lab, "id") if self.missing_classifier != "IF" else rows.withColumn("label", F.lit(0))
+            got = alone[self.missing_classifier](pts).withColumn("series_id", F.lit(names[0] if names else None).cast("string"))
+        else:
             raise ValueError(f"unknown classifier: {self.missing_classifier}")
-        got = run[self.missing_classifier]().select(F.col("id").alias("idx"), "score", "pred")
-        return df.select("idx").join(got, "idx", "left").select("idx", F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("pred", F.lit(-1)).alias("pred"))
+        got = got.select("series_id", F.col("id").alias("idx"), "score", "pred")
+        out = df.select("series_id", "idx").join(got, ["series_id", "idx"], "left")
+        return out.select("series_id", "idx", F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("pred", F.lit(-1)).alias("pred"))
 
 
 class DiscordDetector(Params):

@@ -9,7 +9,7 @@ from .base import POINTS, SERIES, frame, hourly, islands, points
 from .catalog import query
 from .detectors import ADBase, AverageMissing, FingerprintDetector, AbsenceDetector, DiscordDetector, PatternDetector
 from .q_distances import _DTW, _KNN, dtw_sql, mp_sql
-from .q_series import A, apart_sql, contamination_sql, sample_sql, z_sql
+from .q_series import _LAST, _MEAN, A, apart_sql, contamination_sql, sample_sql, z_sql
 
 SCORE = "id i, score d, pred i"
 
@@ -35,7 +35,7 @@ def _(spark, d):
     return neighbors.lof(points(spark, d))
 
 
-_SPHERES = f"""{POINTS}, drawn AS ({sample_sql('pts', 20, 16, 'iNNe')}), centres AS (SELECT d.member, p.* FROM drawn d JOIN pts p USING (id)),
+_SPHERES = f"""{POINTS}, drawn AS ({sample_sql('pts', 100, 16, 'iNNe')}), centres AS (SELECT d.member, p.* FROM drawn d JOIN pts p USING (id)),
   gaps AS (SELECT a.member, a.id, b.id AS nn, list_distance(a.features, b.features) AS d FROM centres a JOIN centres b ON a.member = b.member AND a.id <> b.id),
   radii AS (SELECT member, id, min(d) AS radius, arg_min(nn, (d, nn)) AS nn FROM gaps GROUP BY 1, 2),
   spheres AS (SELECT a.member, a.id, a.radius, 1 - CASE WHEN a.radius > 0 THEN b.radius / a.radius ELSE 1 END AS ratio FROM radii a JOIN radii b ON b.member = a.member AND b.id = a.nn)"""
@@ -43,7 +43,7 @@ _SPHERES = f"""{POINTS}, drawn AS ({sample_sql('pts', 20, 16, 'iNNe')}), centres
 
 @query("est_6_hyperspheres", "member i, id i, radius d, ratio d", f"{_SPHERES} SELECT * FROM spheres")
 def _(spark, d):
-    return neighbors.hyperspheres(points(spark, d), 20, 16)
+    return neighbors.hyperspheres(points(spark, d), 100, 16)
 
 
 _INNE = f"""{_SPHERES}, tied AS (SELECT p.id, s.member, s.id AS centre, s.radius, s.ratio, list_distance(p.features, c.features) AS d FROM pts p JOIN spheres s ON true JOIN pts c ON c.id = s.id),
@@ -54,7 +54,7 @@ _INNE = f"""{_SPHERES}, tied AS (SELECT p.id, s.member, s.id AS centre, s.radius
 @query("agg_11_isolation_mean", "id i, score d", f"{_INNE} SELECT * FROM scored")
 @query("est_6_inne", "id i, score d", f"{_INNE} SELECT * FROM scored")
 def _(spark, d):
-    return neighbors.inne(points(spark, d), 20, 16)
+    return neighbors.inne(points(spark, d), 100, 16)
 
 
 _ETA = f"{_KNN.replace('rank <= 10', 'rank <= 30')}, kd AS (SELECT d FROM knn WHERE rank = 30), eta AS (SELECT greatest(1e-8, count(*) / sum(1 / CASE WHEN d > 0 THEN d ELSE (SELECT min(d) FROM kd WHERE d > 0) END)) AS eta FROM kd)"
@@ -134,21 +134,24 @@ def _(spark, d):
 # whole pipelines
 
 
-@query("pip_2_fingerprint_detector", "series_id s, idx i, loc i", f"""{_DTW.replace('WITH', 'WITH RECURSIVE', 1)}, limits AS (SELECT series_id, max(d) AS lim FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY d, i, j) AS r, count(*) OVER (PARTITION BY series_id) AS n FROM matrix) WHERE r <= floor(n * 0.9) GROUP BY 1),
+_FOUND = f"""{_DTW.replace('WITH', 'WITH RECURSIVE', 1)}, limits AS (SELECT series_id, max(d) AS lim FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY d, i, j) AS r, count(*) OVER (PARTITION BY series_id) AS n FROM matrix) WHERE r <= floor(n * 0.9) GROUP BY 1),
   segs AS (SELECT series_id, idx, list(value) {frame(3)} AS seg FROM series QUALIFY count(*) {frame(3)} = 3),
   zsegs AS (SELECT series_id, idx, CASE WHEN list_stddev_pop(seg) > 1e-12 THEN {z_sql('seg')} ELSE list_transform(seg, lambda v: 0.0::DOUBLE) END AS zg FROM segs),
   near AS (SELECT g.series_id, g.idx, min({dtw_sql('g.zg', 't.z')}) AS d FROM zsegs g JOIN zs t ON t.series_id = g.series_id GROUP BY 1, 2),
   hits AS (SELECT n.series_id, n.idx FROM near n JOIN limits l ON l.series_id = n.series_id AND n.d < l.lim), runs AS {islands('hits', 'true')},
   odd AS (SELECT series_id, max(e - b + 1) AS top, sum(e - b + 1) AS hits FROM runs GROUP BY 1), fine AS (SELECT o.series_id FROM odd o WHERE o.top <= 10 * (SELECT avg(e - b + 1) FROM ranges r WHERE r.series_id = o.series_id) AND o.hits < (SELECT count(*) FROM near n WHERE n.series_id = o.series_id) - 3),
-  found AS (SELECT series_id, (b + e) // 2 AS idx FROM runs WHERE series_id IN (SELECT series_id FROM fine)), {apart_sql('found', 3, 'kept')}
-  SELECT s.series_id, s.idx, CASE WHEN k.idx IS NULL THEN 0 ELSE 1 END AS loc FROM series s LEFT JOIN kept k ON k.series_id = s.series_id AND k.idx = s.idx""")
+  found AS (SELECT series_id, (b + e) // 2 AS idx FROM runs WHERE series_id IN (SELECT series_id FROM fine)), {apart_sql('found', 3, 'kept')}"""
+_LOCS = "SELECT s.*, CASE WHEN k.idx IS NULL THEN 0 ELSE 1 END AS loc FROM series s LEFT JOIN kept k ON k.series_id = s.series_id AND k.idx = s.idx"
+
+
+@query("pip_2_fingerprint_detector", "series_id s, idx i, loc i", f"{_FOUND} {_LOCS}")
 def _(spark, d):
     return FingerprintDetector().fit_predict_fingerprints(hourly(spark, d))
 
 
 @query("pip_1_pattern_detector", "series_id s, idx i, loc i")
 def _(spark, d):
-    return PatternDetector(features="stat_time", rounds=20).fit_predict_occurrences(hourly(spark, d))
+    return PatternDetector().fit_predict_occurrences(hourly(spark, d))
 
 
 @query("pip_3_absence_detector", A)
@@ -156,7 +159,7 @@ def _(spark, d):
     return AbsenceDetector().fit_predict(hourly(spark, d))
 
 
-@query("pip_4_average_missing_detector", A)
+@query("pip_4_average_missing_detector", A, f"{_FOUND}, located AS ({_LOCS}), {_MEAN}, {_LAST} SELECT s.series_id, s.idx, s.ts, s.loc, CASE WHEN s.gap > m.mean THEN 1 ELSE 0 END AS prob, CASE WHEN s.gap > m.mean THEN 1 ELSE 0 END AS pred FROM since s LEFT JOIN mean_gap m ON m.series_id = s.series_id")
 def _(spark, d):
     return AverageMissing().fit_predict(hourly(spark, d))
 
@@ -183,6 +186,19 @@ def _(spark, d):
     return ADBase().fit_predict(_one(spark, d))
 
 
+_EACH = ", ".join(f"coalesce((f[{k}] - avg(f[{k}]) OVER w) / nullif(stddev_pop(f[{k}]) OVER w, 0), 0)" for k in range(1, 12))
+
+
+@query("pip_5_adbase_many_series", "series_id s, idx i, score d, pred i", f"""{SERIES}, raw AS (SELECT series_id, idx AS id, [{_F}] AS f FROM series QUALIFY count(*) {frame(24)} = 24),
+  pts AS (SELECT series_id, id, [{_EACH}] AS features FROM raw WINDOW w AS (PARTITION BY series_id)),
+  pairs AS (SELECT a.series_id, a.id, b.id AS other, list_distance(a.features, b.features) AS d FROM pts a JOIN pts b ON a.series_id = b.series_id AND a.id <> b.id),
+  kth AS (SELECT series_id, id, d FROM pairs QUALIFY row_number() OVER (PARTITION BY series_id, id ORDER BY d, other) = 10),
+  scored AS (SELECT series_id, id, {minmax_sql('d', 'PARTITION BY series_id')} AS score FROM kth)
+  SELECT o.series_id, o.idx, coalesce(g.score, 0) AS score, coalesce(g.pred, -1) AS pred FROM series o LEFT JOIN ({contamination_sql('scored', 0.1, 'score', 'series_id')}) g ON g.series_id = o.series_id AND g.id = o.idx""")
+def _(spark, d):
+    return ADBase().fit_predict(hourly(spark, d))
+
+
 @query("pip_5_adbase_lof", "idx i, score d, pred i", _adbase(_LOF[len(POINTS) + 2 :]))
 def _(spark, d):
     return ADBase(missing_classifier="LOF").fit_predict(_one(spark, d))

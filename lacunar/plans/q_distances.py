@@ -119,11 +119,11 @@ def _(spark, d):
 
 @query("joi_2_segments_templates", "series_id s, idx i, d d", f"""{_Z}, segs AS (SELECT series_id, idx, list(value) {frame(3)} AS seg FROM series QUALIFY count(*) {frame(3)} = 3),
   zsegs AS (SELECT series_id, idx, CASE WHEN list_stddev_pop(seg) > 1e-12 THEN {z_sql('seg')} ELSE list_transform(seg, lambda v: 0.0::DOUBLE) END AS zg FROM segs)
-  SELECT g.series_id, g.idx, min({dtw_sql('g.zg', 't.z')}) AS d FROM zsegs g JOIN zs t ON t.series_id = g.series_id AND t.range_id < 3 GROUP BY 1, 2""")
+  SELECT g.series_id, g.idx, min({dtw_sql('g.zg', 't.z')}) AS d FROM zsegs g JOIN zs t ON t.series_id = g.series_id GROUP BY 1, 2""")
 def _(spark, d):
     df = hourly(spark, d)
     seg = series.segments(df, 3).withColumn("zg", series.znorm(F.col("seg"), flat_zero=True))
-    t = _z(spark, d).where("range_id < 3").select("series_id", "z")
+    t = _z(spark, d).select("series_id", "z")
     return seg.join(t, "series_id").groupBy("series_id", "idx").agg(F.min(X.dtw(F.col("zg"), F.col("z"))).alias("d"))
 
 
@@ -201,9 +201,9 @@ def _(spark, d):
     return profile.matrix_profile(hourly(spark, d), 24, split=360)
 
 
-@query("dis_10_znorm_distance", "series_id s, idx i, other i, d d", f"{SERIES}, {_windows(12)} SELECT a.series_id, a.idx, b.idx AS other, {_dist(12)} AS d FROM stats a JOIN stats b ON a.series_id = b.series_id AND b.idx > a.idx AND a.idx <= 30 AND b.idx > 30 AND (b.idx < round_even(a.idx - 6.0, 0) OR b.idx >= round_even(a.idx + 7.0, 0) OR a.idx < round_even(b.idx - 6.0, 0) OR a.idx >= round_even(b.idx + 7.0, 0))")
+@query("dis_10_znorm_distance", "series_id s, idx i, other i, d d", f"{SERIES}, {_windows(12)} SELECT a.series_id, a.idx, b.idx AS other, {_dist(12)} AS d FROM stats a JOIN stats b ON a.series_id = b.series_id AND b.idx > a.idx AND (b.idx < round_even(a.idx - 6.0, 0) OR b.idx >= round_even(a.idx + 7.0, 0) OR a.idx < round_even(b.idx - 6.0, 0) OR a.idx >= round_even(b.idx + 7.0, 0))")
 def _(spark, d):
-    return profile.pairs(hourly(spark, d), 12, split=30)
+    return profile.pairs(hourly(spark, d), 12)
 
 
 _DISCORD = f"{SERIES}, {mp_sql(24)}, scaled AS (SELECT series_id, idx, CASE WHEN max(mp) OVER p > min(mp) OVER p THEN (mp - min(mp) OVER p) / (max(mp) OVER p - min(mp) OVER p) ELSE 0 END AS mp FROM mp WINDOW p AS (PARTITION BY series_id)), filled AS (SELECT s.series_id, s.idx, round(coalesce(m.mp, 0), 9) AS score FROM series s LEFT JOIN scaled m USING (series_id, idx)) {contamination_sql('filled', 0.1, 'score', 'series_id')}"

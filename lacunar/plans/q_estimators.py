@@ -17,12 +17,12 @@ SCORE = "id i, score d, pred i"
 
 @query("est_3_isolation_forest", SCORE)
 def _(spark, d):
-    return ensemble.isolation_forest(points(spark, d), trees=50)
+    return ensemble.isolation_forest(points(spark, d))
 
 
 @query("est_4_extended_isolation_forest", SCORE)
 def _(spark, d):
-    return ensemble.isolation_forest(points(spark, d), trees=50, level=3)
+    return ensemble.isolation_forest(points(spark, d), level=3)
 
 
 @query("est_4b_tree_branches", "tree_id i, node_id i, path s")
@@ -45,13 +45,13 @@ def _(spark, d):
 @query("est_10_bagging_svm", "id i, prob d, pred i")
 def _(spark, d):
     p = points(spark, d).withColumn("label", F.greatest("label", F.lit(0)))
-    return ensemble.bagging_svm(p, rounds=30)
+    return ensemble.bagging_svm(p)
 
 
 @query("est_10b_bagging_forest", "id i, prob d, pred i")
 def _(spark, d):
     p = points(spark, d).withColumn("label", F.greatest("label", F.lit(0)))
-    return ensemble.bagging_forest(p, rounds=3, trees=5)
+    return ensemble.bagging_forest(p)
 
 
 @query("est_12_exponweib_fit", "series_id s, kind s, a d, c d, shift d, scale d, nll d")
@@ -80,19 +80,22 @@ def _(spark, d):
 @query("est_15_low_pass_locations", "series_id s, idx i, loc i")
 def _(spark, d):
     df = hourly(spark, d)
-    return find_locations(df, series.pattern_ranges(df), 4, smooth="low-pass", orders=range(1, 20, 6), cutoffs=(0.1, 0.3, 0.5))
+    return find_locations(df, series.pattern_ranges(df), 4, smooth="low-pass")
 
 
-@query("est_16_fft_resample", "series_id s, range_id i, n i", f"{_PATTERNS} SELECT series_id, range_id, 2 * len(pattern) AS n FROM patterns")
+_KERNEL = """(1 + 2 * coalesce(list_sum(list_transform(range(1, (n - 1) // 2 + 1), lambda j: cos(2 * pi() * j * (k / 2.0::DOUBLE - t) / n))), 0)
+  + CASE WHEN n % 2 = 0 THEN cos(pi() * (k / 2.0::DOUBLE - t)) ELSE 0 END) / n"""
+
+
+@query("est_16_fft_resample", "series_id s, range_id i, x a", f"{_PATTERNS}, sized AS (SELECT *, len(pattern) AS n FROM patterns) SELECT series_id, range_id, list_transform(range(2 * n), lambda k: list_sum(list_transform(range(n), lambda t: pattern[t + 1] * {_KERNEL}))) AS x FROM sized")
 def _(spark, d):
     df = hourly(spark, d)
-    got = series.extract_patterns(df, series.pattern_ranges(df)).withColumn("x", generate.fft_resample("pattern", F.size("pattern") * 2))
-    return got.select("series_id", "range_id", F.size("x").alias("n"))
+    return series.extract_patterns(df, series.pattern_ranges(df)).withColumn("x", generate.fft_resample("pattern", F.size("pattern") * 2))
 
 
 def _shapes(spark, d):
     df = hourly(spark, d)
-    runs = series.pattern_ranges(df).where("range_id < 4")
+    runs = series.pattern_ranges(df)
     return series.extract_patterns(df, runs).select(F.concat_ws(":", "series_id", F.col("range_id").cast("string")).alias("k"), F.col("range_id").cast("double").alias("class"), F.col("pattern").alias("values"))
 
 
@@ -124,7 +127,7 @@ def _(spark, d):
 @query("flt_9_low_pass_support", "series_id s, idx i, support d")
 def _(spark, d):
     df = hourly(spark, d)
-    return low_pass(df, series.pattern_ranges(df), 4, orders=(1, 3), cutoffs=(0.2, 0.4))
+    return low_pass(df, series.pattern_ranges(df), 4)
 
 
 @query("str_1_hourly_usage", "series_id s, ts t, value d", "SELECT event_type AS series_id, date_trunc('hour', ts) AS ts, sum(value) AS value FROM events GROUP BY 1, 2")

@@ -51,12 +51,12 @@ def _(spark, d):
     return features(df, 8, "shape", shape_templates(df, series.pattern_ranges(df), 5))
 
 
-@query("fea_x_sliding_nearest", "series_id s, idx i, d d", f"""{RANGES}, shape AS (SELECT r.series_id, list(s.value ORDER BY s.idx) AS q FROM ranges r JOIN series s ON s.series_id = r.series_id AND s.idx BETWEEN r.b AND r.e WHERE r.range_id = 0 GROUP BY 1),
+@query("fea_x_sliding_nearest", "series_id s, range_id i, idx i, d d", f"""{RANGES}, shape AS (SELECT r.series_id, r.range_id, list(s.value ORDER BY s.idx) AS q FROM ranges r JOIN series s ON s.series_id = r.series_id AND s.idx BETWEEN r.b AND r.e GROUP BY r.series_id, r.range_id),
   segs AS (SELECT series_id, idx, list(value) {frame(8)} AS seg FROM series QUALIFY count(*) {frame(8)} = 8)
-  SELECT g.series_id, g.idx, list_min(list_transform(range(1, len(g.seg) - len(s.q) + 2), lambda i: list_distance(g.seg[i : i + len(s.q) - 1], s.q))) AS d FROM segs g JOIN shape s ON s.series_id = g.series_id""")
+  SELECT g.series_id, s.range_id, g.idx, list_min(list_transform(range(1, len(g.seg) - len(s.q) + 2), lambda i: list_distance(g.seg[i : i + len(s.q) - 1], s.q))) AS d FROM segs g JOIN shape s ON s.series_id = g.series_id""")
 def _(spark, d):
     df = hourly(spark, d)
-    shape = series.extract_patterns(df, series.pattern_ranges(df).where("range_id = 0")).select("series_id", F.col("pattern").alias("q"))
+    shape = series.extract_patterns(df, series.pattern_ranges(df)).select("series_id", "range_id", F.col("pattern").alias("q"))
     return series.segments(df, 8).join(shape, "series_id").withColumn("d", X.sliding_nearest(F.col("seg"), F.col("q")))
 
 

@@ -188,3 +188,47 @@ def test_generator(spark):
     assert runs.count() >= 2
     assert got.where("loc = 1").agg(F.min("value")).first()[0] >= 5.0
     assert generate.insert_by_usage(make(spark, values=[1.0] * 300), [[5.0, 6.0]], usage=20.0).where("loc = 1").count() > 0
+
+
+def test_order_statistic_is_exact(spark):
+    import random
+
+    from lacunar.operators import scores
+
+    rng = random.Random(7)
+    for values in ([1.0], [2.0, 2.0, 2.0], [rng.choice([0.0, 1e-300, 1e-9, 1.0, 1.0 + 2**-52, 1e12, -5.0]) for _ in range(300)], [rng.gauss(0, 1) for _ in range(500)]):
+        df = spark.createDataFrame([(v,) for v in values], "x double")
+        for share in (0.0, 0.25, 0.5, 0.9, 1.0):
+            assert scores.order_statistic(df, "x", share) == sorted(values)[min(int(len(values) * share), len(values) - 1)]
+    df = spark.createDataFrame([(None,), (None,), (3.0,), (4.0,)], "x double")
+    assert scores.order_statistic(df, "x", 0.25) is None and scores.order_statistic(df, "x", 0.5) == 3.0
+    assert scores.contamination(df.limit(0), 0.1, [], "x").collect() == []
+
+
+def test_profile_does_not_depend_on_its_blocks(spark):
+    import random
+
+    from lacunar.operators import profile
+
+    rng = random.Random(3)
+    df = spark.createDataFrame([("a", i, rng.random()) for i in range(130)] + [("b", i, 1.0) for i in range(40)], "series_id string, idx long, value double")
+    want = {(r["series_id"], r["idx"]): round(r["mp"], 9) for r in profile.matrix_profile(df, 7).collect()}
+    got = {(r["series_id"], r["idx"]): round(r["mp"], 9) for r in profile.matrix_profile(df, 7, block=16).collect()}
+    assert got == want and len(want) == 124 + 34
+
+
+def test_point_detector_takes_each_series_alone(spark):
+    import random
+
+    from lacunar.plans.detectors import ADBase
+
+    rng = random.Random(5)
+    rows = [(s, i, "2024-01-01 00:00:00", rng.random() + (s == "b"), int(i % 24 == 7)) for s in "ab" for i in range(96)]
+    df = spark.createDataFrame(rows, "series_id string, idx long, ts string, value double, y int").selectExpr("series_id", "idx", "cast(ts as timestamp_ntz) as ts", "value", "y")
+    both = {(r["series_id"], r["idx"]): (round(r["score"], 9), r["pred"]) for r in ADBase(features="stat").fit_predict(df).collect()}
+    alone = {(r["series_id"], r["idx"]): (round(r["score"], 9), r["pred"]) for s in "ab" for r in ADBase(features="stat").fit_predict(df.where(f"series_id = '{s}'")).collect()}
+    assert both == alone and len(both) == 192
+    import pytest
+
+    with pytest.raises(ValueError):
+        ADBase(features="stat", missing_classifier="IF").fit_predict(df)

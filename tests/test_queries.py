@@ -11,7 +11,7 @@ from lacunar.plans import catalog  # noqa: E402
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
-SLOW = {"pip_1_pattern_detector", "pip_5_adbase_semi_supervised", "pip_5_adbase_ssad", "pip_5_adbase_if", "pip_3_absence_detector", "pip_4_average_missing_detector", "est_10b_bagging_forest"}
+SLOW = {"pip_1_pattern_detector", "pip_5_adbase_semi_supervised", "pip_5_adbase_ssad", "pip_3_absence_detector", "est_10b_bagging_forest"}
 
 
 @pytest.fixture(scope="module")
