@@ -97,33 +97,34 @@ def weibull_fit(x: np.ndarray) -> tuple[float, float, float, float]:
 # low-pass filters
 
 
-def butter(order: int, wn: float) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Second-order sections (b, a) of a digital Butterworth low-pass."""
-    w = math.tan(math.pi * wn / 2)
+def butter(order: int, wn: float | np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Second-order sections (b, a) of a digital Butterworth low-pass, or of one for each value of wn."""
+    w = np.tan(np.pi * np.asarray(wn, float) / 2)
+    one, zero = np.ones_like(w), np.zeros_like(w)
     out = []
     for k in range(order // 2):
         q = 2 * math.sin(math.pi * (2 * k + 1) / (2 * order))
         d = 1 + q * w + w * w
-        out.append((np.array([w * w, 2 * w * w, w * w]) / d, np.array([1, 2 * (w * w - 1) / d, (1 - q * w + w * w) / d])))
+        out.append((np.stack([w * w, 2 * w * w, w * w]) / d, np.stack([one, 2 * (w * w - 1) / d, (1 - q * w + w * w) / d])))
     if order % 2:
-        out.append((np.array([w, w, 0.0]) / (1 + w), np.array([1, (w - 1) / (1 + w), 0.0])))
+        out.append((np.stack([w, w, zero]) / (1 + w), np.stack([one, (w - 1) / (1 + w), zero])))
     return out
 
 
 def _section(b: np.ndarray, a: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """One section, started in the steady state of its first value."""
-    gain = b.sum() / a.sum()
+    """One section, started in the steady state of its first value; filters side by side in the last axis."""
+    gain = b.sum(0) / a.sum(0)
     y0 = gain * x[0]
     z2 = b[2] * x[0] - a[2] * y0
     z1 = b[1] * x[0] - a[1] * y0 + z2
-    b0, b1, b2 = b.tolist()
-    a1, a2 = a[1:].tolist()
-    out = []
-    for v in x.tolist():
+    b0, b1, b2 = b
+    _, a1, a2 = a
+    out = np.empty((len(x), *np.shape(gain)))
+    for i, v in enumerate(x):
         y = b0 * v + z1
         z1, z2 = b1 * v - a1 * y + z2, b2 * v - a2 * y
-        out.append(y)
-    return np.array(out)
+        out[i] = y
+    return out
 
 
 def filtfilt(sections: list[tuple[np.ndarray, np.ndarray]], x: np.ndarray) -> np.ndarray:

@@ -175,9 +175,9 @@ def low_pass(labels: DataFrame, ranges: DataFrame, w: int, orders=range(1, 20),
         pdf = pdf.sort_values("idx")
         x, runs, best = pdf.y.to_numpy().astype(float), pdf.runs.iloc[0], (np.inf, None)
         for order in orders:
-            for wn in cutoffs:
-                with np.errstate(all="ignore"):
-                    got = numeric.filtfilt(numeric.butter(order, wn), x)
+            with np.errstate(all="ignore"):
+                every = numeric.filtfilt(numeric.butter(order, np.array(cutoffs)), x)
+            for got in every.T:
                 if runs is None or not np.isfinite(got).all():
                     continue
                 top = np.array([got[b : e + 1].max() for b, e in runs])
