@@ -36,11 +36,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401 - as pa.compute
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import labels, materialize, parts, tidy, tidy_group, tidy_pair
+from .common import labels, parts, tidy, tidy_group, tidy_pair
 
 LENGTH = 100
 GRAM = 32
@@ -330,6 +331,10 @@ def cut(df: DataFrame, text: str = "text", key: str = "doc_id", length: int = LE
         return _table(rows, _MADE)
 
     def judge(t: pa.Table) -> pa.Table:
+        told = t.filter(pa.compute.equal(t["kind"], 1)).select(["b", "blob"])  # marks of the buckets, on their way
+        t = t.filter(pa.compute.equal(t["kind"], 0))
+        if not t.num_rows:
+            return told
         cols: list[list[np.ndarray]] = [[] for _ in range(6)]
         who = []
         for b, blob in zip(t["b"].to_pylist(), t["blob"].to_pylist(), strict=True):
@@ -372,7 +377,7 @@ def cut(df: DataFrame, text: str = "text", key: str = "doc_id", length: int = LE
                 g = np.concatenate([f[1:], [len(i)]]) - 1
                 marks.append((who[i[f]], o[i[f]], tie[i[f]], s[i[f]] + k[f], s[i[f]] + k[g] + length))
         b, *rest = (np.concatenate(x) for x in zip(*marks, strict=True))
-        return _table([(k, _pack(*(x[i].astype(np.int64) for x in rest))) for k, i in _grouped(b)], _MARK)
+        return pa.concat_tables([told, _table([(k, _pack(*(x[i].astype(np.int64) for x in rest))) for k, i in _grouped(b)], _MARK)])
 
     def finish(t: pa.Table, m: pa.Table) -> pa.Table:
         bucket = _Bucket(t)
@@ -401,7 +406,6 @@ def cut(df: DataFrame, text: str = "text", key: str = "doc_id", length: int = LE
         return _table(rows, pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]))
 
     dups = dealt.groupBy("b").applyInArrow(tidy_group(send), _ddl(_SENT)).repartition(ranges, "r").groupBy("r").applyInArrow(tidy_group(meet), _ddl(_DUPS))
-    made = materialize(dealt.groupBy("b").cogroup(dups.groupBy("b")).applyInArrow(tidy_pair(contexts), _ddl(_MADE)))
-    judged = made.where("kind = 0").select("k", "b", "blob").repartition(ranges, "k").groupBy("k").applyInArrow(tidy_group(judge), _ddl(_MARK))
-    marks = made.where("kind = 1").select("b", "blob").unionByName(judged)
+    made = dealt.groupBy("b").cogroup(dups.groupBy("b")).applyInArrow(tidy_pair(contexts), _ddl(_MADE))
+    marks = made.repartition(ranges, "k").groupBy("k").applyInArrow(tidy_group(judge), _ddl(_MARK))
     return dealt.groupBy("b").cogroup(marks.groupBy("b")).applyInArrow(tidy_pair(finish), _OUT)
