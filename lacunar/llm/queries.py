@@ -75,9 +75,14 @@ def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.summary(read(spark, sf_dir, "documents"))
 
 
+def media_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Timed clip rows of every document's AVI file."""
+    return media.clips(media.store(read(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: f for k, f in globals().items() if k[:2] == "op" and k[2].isdigit()}
-    return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
+    return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0]))) | {"media_clips": media_clips}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -169,6 +169,76 @@ def test_media_clips(spark):
     assert [(r["first_frame"], r["n_frames"], r["start_s"]) for r in got] == [(0, 3, 0.0), (3, 4, 0.12)]
 
 
+def test_media_names_every_cut(spark):
+    text = "".join(chr(97 + k % 2 * 20) * 1024 * 10 for k in range(14))
+    feature = media.summary(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["feature"]
+    assert "shots=14" in feature and feature.split("cuts=")[1].split(";")[0].count(",") == 12
+
+
+def _baseline(samples, restart=0):
+    """A baseline JPEG of 8 x 8 blocks that hold one value each: DC codes alone."""
+    blocks = [int(round((v - 128) * 8 / 4)) for v in samples]  # quantised by 4
+    bits, before = "", 0
+    out = b""
+    for k, b in enumerate(blocks):
+        if restart and k and k % restart == 0:
+            bits += "1" * (-len(bits) % 8)
+            out += int(bits, 2).to_bytes(len(bits) // 8, "big").replace(b"\xff", b"\xff\0") + bytes([0xFF, 0xD0 + (k // restart - 1) % 8])
+            bits, before = "", 0
+        d, before = b - before, b
+        s = abs(d).bit_length()
+        bits += format(s, "04b") + (format(d if d > 0 else d + (1 << s) - 1, f"0{s}b") if s else "") + "0"  # end of block
+    bits += "1" * (-len(bits) % 8)
+    out += int(bits, 2).to_bytes(len(bits) // 8, "big").replace(b"\xff", b"\xff\0")
+    seg = media._segment
+    tables = seg(0xC4, b"\x00" + bytes([0, 0, 0, 12] + [0] * 12) + bytes(range(12))) + seg(0xC4, b"\x10" + bytes([1] + [0] * 15) + b"\0")
+    head = seg(0xDB, b"\0" + bytes([4] * 64)) + seg(0xC0, bytes([8, 0, 8, 0, 8 * len(samples), 1, 1, 0x11, 0])) + tables
+    return b"\xff\xd8" + head + (seg(0xDD, bytes([0, restart])) if restart else b"") + seg(0xDA, b"\x01\x01\x00\x00\x3f\x00") + out + b"\xff\xd9"
+
+
+def _avi(frames, index=True):
+    chunks = b"".join(media._chunk(b"00dc", f) for f in frames)
+    body = b"AVI " + media._chunk(b"LIST", b"movi" + chunks)
+    if index:
+        at, rows = 4, b""
+        for f in frames:
+            rows += media.struct.pack("<4sIII", b"00dc", 16, at, len(f))
+            at += len(media._chunk(b"00dc", f))
+        body += media._chunk(b"idx1", rows)
+    return media._chunk(b"RIFF", body)
+
+
+def test_baseline_frames_and_files_without_an_index(spark):
+    for restart in (0, 1, 2):
+        got = media.decode_frame(_baseline([10, 200, 128, 60], restart))
+        assert got.shape == (8, 32) and [abs(int(x) - v) <= 1 for x, v in zip(got[3, 4::8], [10, 200, 128, 60], strict=True)] == [True] * 4
+    dark, light = _baseline([20] * 4), _baseline([220] * 4)
+    for index in (True, False):
+        frames, _, _ = media.decode(_avi([dark] * 3 + [light] * 4 + [b""], index))
+        assert frames.shape == (8, 8, 32) and media.shots(frames) == [0, 3]
+    lossless = media.encode(bytes(1024) * 2 + bytes([200]) * 1024)
+    bare = lossless.replace(b"idx1", b"JUNK")
+    assert (media.decode(bare)[0] == media.decode(lossless)[0]).all()
+    df = spark.createDataFrame([(1, _avi([dark, light, light])), (2, lossless[:-40]), (3, b"no film"), (4, lossless[: len(lossless) // 2])], "doc_id long, media binary")
+    assert [(r["doc_id"], r["clip"], r["n_frames"]) for r in media.clips(df).orderBy("doc_id", "clip").collect() if r["doc_id"] == 1] == [(1, 0, 1), (1, 1, 2)]
+    for x in (b"", b"no film", lossless[: len(lossless) // 2], _avi([dark[:60]])):
+        with pytest.raises(media.BrokenMedia):
+            media.decode(x)
+
+
+def test_opendml_index():
+    frames = media.encode_frames(media.np.zeros((3, 16, 64), media.np.uint8))
+    chunks = b"".join(media._chunk(b"00dc", f) for f in frames)
+    places, at = [], 0
+    for f in frames:
+        places.append((at + 8, len(f)))
+        at += len(media._chunk(b"00dc", f))
+    base = 12 + 8 + 4  # of the first chunk in movi
+    ix = media.struct.pack("<HBBI4sQI", 2, 0, 1, 2, b"00dc", base, 0) + b"".join(media.struct.pack("<II", *p) for p in places[:2])
+    film = media._chunk(b"RIFF", b"AVI " + media._chunk(b"LIST", b"movi" + chunks + media._chunk(b"ix00", ix)))
+    assert len(media.decode(film)[0]) == 2  # the index names two of the three
+
+
 def test_packing_is_gapless_and_tight(docs):
     got = CASES["packing"][0](docs).toPandas()
     by = got.sort_values(["sequence_id", "offset"]).groupby("sequence_id")
