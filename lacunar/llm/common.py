@@ -8,7 +8,7 @@ import gc
 import math
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,13 +25,15 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; one of our own only if none is set."""
+    """The folder that all executors share; one of our own only on one machine, if none is set."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     own = tempfile.mkdtemp(prefix="lacunar-checkpoint-")
     spark.sparkContext.setCheckpointDir(f"file://{own}")
     return f"file://{own}"
@@ -148,6 +150,20 @@ def tidy_pair(run: Callable) -> Callable:
     return over
 
 
+def chunked(texts: Iterable[bytes], limit: int) -> Iterator[list[bytes]]:
+    """Lists of some texts of about so many bytes, whole texts each."""
+    part: list[bytes] = []
+    size = 0
+    for t in texts:
+        if part and size + len(t) > limit:
+            yield part
+            part, size = [], 0
+        part.append(t)
+        size += len(t)
+    if part:
+        yield part
+
+
 def crc_mod(doc_id: str | Column, k: int) -> Column:
     """crc32 of the id's decimal text, modulo k (null id: the empty text's)."""
     col = F.col(doc_id) if isinstance(doc_id, str) else doc_id

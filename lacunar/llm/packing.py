@@ -21,8 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, tidy, tidy_pair
-from .quality import chunked
+from .common import chunked, materialize, tidy, tidy_pair
 
 SIZE = 2048
 #: Pieces that one task places, about.

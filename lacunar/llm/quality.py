@@ -15,7 +15,7 @@ their ids); every text is scored whole. A null or empty text is one empty line.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import tidy, unit_hash
+from .common import chunked, tidy, unit_hash
 from .urlfilter import logistic
 
 SAMPLE = 6000
@@ -108,19 +108,6 @@ def features(texts: list[bytes]) -> Lines:
     return Lines(np.concatenate([own, prev, after, np.ones((n, 1))], axis=1), size, docs)
 
 
-def chunked(texts: Iterable[bytes], limit: int = CHUNK) -> Iterator[list[bytes]]:
-    part: list[bytes] = []
-    size = 0
-    for t in texts:
-        if part and size + len(t) > limit:
-            yield part
-            part, size = [], 0
-        part.append(t)
-        size += len(t)
-    if part:
-        yield part
-
-
 @dataclass
 class Field:
     """Two states, 0 good and 1 bad: emission weights of bad, and the transitions."""
@@ -168,7 +155,7 @@ class Field:
         return np.add.reduceat(weight * (1 - bad), lines.docs[:-1]) / np.add.reduceat(weight, lines.docs[:-1])
 
     def score(self, texts: Iterable[bytes]) -> np.ndarray:
-        q = [self.quality(features(part)) for part in chunked(texts)]
+        q = [self.quality(features(part)) for part in chunked(texts, CHUNK)]
         return 1 / (1 + np.exp(-(self.slope * _logit(np.concatenate(q)) + self.offset))) if q else np.zeros(0)
 
 

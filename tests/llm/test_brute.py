@@ -290,6 +290,44 @@ def test_quality_and_language_on_held_out_rows(spark):
     assert (got.lang_pred == got.lang).mean() > 0.98 and got.score.between(0, 1).all()
 
 
+def test_url_ratio_is_that_of_counted_contexts(spark):
+    """Against dictionaries of every context, order by order."""
+    import math
+
+    from lacunar.llm import urlfilter
+
+    rng = random.Random(13)
+    make = lambda kind: f"http://x{rng.randint(0, 9)}.net/{kind}/" + "".join(rng.choice("abcdef0123"[:6] if kind == "p" else "0123ef") for _ in range(rng.randint(3, 12)))
+    rules = [urlfilter.Rule("good.org", "/", True), urlfilter.Rule("bad.org", "/", False)]
+    urls = [make(rng.choice("pq")) for _ in range(60)]
+    urls += [u.replace(".net", ".good.org") for u in (make("p") for _ in range(80))] + [u.replace(".net", ".bad.org") for u in (make("q") for _ in range(80))]
+    got = {r["page_id"]: r for r in urlfilter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules).collect()}
+    seen = [Counter(), Counter()]
+    for u in urls:
+        if ".net" not in u:
+            s = "\0" * 5 + u + "\1"
+            for i in range(5, len(s)):
+                for k in range(6):
+                    seen["good" in u].update([(k, s[i - k : i]), (k, s[i - k : i], s[i])])
+
+    def ratio(u):
+        s, total = "\0" * 5 + u + "\1", 0.0
+        for i in range(5, len(s)):
+            p = [1 / 256, 1 / 256]
+            for k in range(6):
+                p = [(seen[c][k, s[i - k : i], s[i]] + 2 * p[c]) / (seen[c][k, s[i - k : i]] + 2) for c in (0, 1)]
+            total += math.log(p[1] / p[0])
+        return total / (len(u) + 1)
+
+    logit = {i: math.log(r["score"] / (1 - r["score"])) for i, r in got.items() if 0 < r["score"] < 1}
+    pairs = sorted((ratio(urls[i]), z) for i, z in logit.items())
+    (x0, z0), (x1, z1) = pairs[0], pairs[-1]
+    slope = (z1 - z0) / (x1 - x0)
+    assert slope > 0 and len(pairs) > 100
+    assert all(abs(z - (z0 + slope * (x - x0))) < 1e-6 * (1 + abs(z)) for x, z in pairs)  # scores are a curve over the same ratios
+    assert all(got[i]["verdict"] == ("allow" if "/p/" in u else "block") for i, u in enumerate(urls))
+
+
 @here
 def test_url_model_agrees_with_its_rules(spark):
     got = queries.op2_url_filters(spark, "/root/testdata/sf0.1").where("rule is not null").toPandas()
