@@ -70,6 +70,115 @@ def test_fingerprints(docs, rows):
         assert got[i]["edited_fingerprint"] == fingerprint.fingerprint(e)
 
 
+def test_canonical_form_is_worked_out_apart(spark):
+    """By tables of pairs, not by the module's own function; the hash by its published values."""
+    import unicodedata
+
+    import xxhash
+
+    def plain(t):
+        t = unicodedata.normalize("NFKC", t)
+        t = unicodedata.normalize("NFKC", "".join(c.casefold() for c in t))
+        out = []
+        for c in t:
+            if c.isspace():
+                out.append(" ") if out and out[-1] != " " else None
+            else:
+                out.append(c)
+        return "".join(out).strip(" ")
+
+    same = [("ﬁne  Straße", "FINE STRASSE"), ("A\u030a b", "å\tB"), ("①\u00a02", "1 2 "), ("ΣΑΣ", "σας"), ("", " \n ")]
+    for a, b in same:
+        assert fingerprint.fingerprint(a) == fingerprint.fingerprint(b) == xxhash.xxh3_128_hexdigest(plain(a).encode())
+    other = [("a b", "ab"), ("é", "e"), ("o'k", "ok")]
+    assert all(fingerprint.fingerprint(a) != fingerprint.fingerprint(b) for a, b in other)
+    assert fingerprint.fingerprint("") == "99aa06d3014798d86001c324468d497f"
+    rows = [(i, t) for i, t in enumerate(x for pair in same + other for x in pair)]
+    got = {r["doc_id"]: r["fingerprint"] for r in fingerprint.edited_pairs(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: xxhash.xxh3_128_hexdigest(plain(t).encode()) for i, t in rows}
+
+
+def test_field_marginals_by_all_labellings():
+    import itertools
+    import math
+
+    from lacunar.llm import quality
+
+    np = quality.np
+    rng = random.Random(21)
+    e = np.array([rng.gauss(0, 2) for _ in range(9)])
+    docs = np.array([0, 4, 5, 9])
+    field = quality.Field(np.zeros(quality.FEATURES), np.array([[rng.gauss(0, 1) for _ in range(2)] for _ in range(2)]))
+    bad, pairs, log_z = field.marginals(e, docs, pairs=True)
+    want, total, expected = np.zeros(9), 0.0, np.zeros((2, 2))
+    for a, z in itertools.pairwise(docs.tolist()):
+        weight = {}
+        for y in itertools.product((0, 1), repeat=z - a):
+            steps = list(itertools.pairwise(y))
+            weight[y] = math.exp(sum(e[a + i] * v for i, v in enumerate(y)) + sum(field.t[s] for s in steps))
+        norm = sum(weight.values())
+        total += math.log(norm)
+        for y, w in weight.items():
+            want[a:z] += np.array(y) * w / norm
+            for s in itertools.pairwise(y):
+                expected[s] += w / norm
+    assert np.allclose(bad, want) and np.allclose(pairs, expected) and abs(log_z - total) < 1e-9
+
+
+def test_ftrl_by_dense_updates():
+    import math
+
+    from lacunar.llm import langid
+
+    np = langid.np
+    rng = random.Random(22)
+    rows = []
+    for _ in range(40):
+        at = sorted(rng.sample(range(12), 4))
+        rows.append((np.array(at), np.array([rng.random() for _ in at]), rng.randrange(3)))
+    alpha, beta, l1, l2 = 0.5, 1.0, 0.05, 0.01
+    got = langid.ftrl(rows, 3, epochs=2, alpha=alpha, beta=beta, l1=l1, l2=l2)
+    z, n = {}, {}
+
+    def weight(i, c):
+        a1, a2 = (0.0, 0.0) if i == "bias" else (l1, l2)
+        s = z.get((i, c), 0.0)
+        return 0.0 if abs(s) <= a1 else -(s - math.copysign(a1, s)) / ((beta + math.sqrt(n.get((i, c), 0.0))) / alpha + a2)
+
+    for _ in range(2):
+        for at, v, y in rows:
+            x = {**dict(zip(at.tolist(), v.tolist(), strict=True)), "bias": 1.0}
+            w = {(i, c): weight(i, c) for i in x for c in range(3)}
+            s = [sum(w[i, c] * x[i] for i in x) for c in range(3)]
+            p = [math.exp(k) / sum(map(math.exp, s)) for k in s]
+            for i in x:
+                for c in range(3):
+                    g = (p[c] - (c == y)) * x[i]
+                    old = n.get((i, c), 0.0)
+                    z[i, c] = z.get((i, c), 0.0) + g - (math.sqrt(old + g * g) - math.sqrt(old)) / alpha * w[i, c]
+                    n[i, c] = old + g * g
+    for i in range(12):
+        assert np.allclose(got[i], [weight(i, c) for c in range(3)])
+    assert np.allclose(got[-1], [weight("bias", c) for c in range(3)])
+    assert (got[:12] == 0).any()  # the elastic net leaves some out
+
+
+def test_temperature_by_search():
+    from lacunar.llm import langid
+
+    np = langid.np
+    rng = np.random.default_rng(3)
+    y = rng.integers(0, 3, 400)
+    logits = rng.normal(size=(400, 3)) + 1.0 * np.eye(3)[y]
+    t = langid.calibrate(6 * logits, y)
+
+    def loss(t):
+        s = 6 * logits / t
+        return -(s[np.arange(400), y] - np.log(np.exp(s).sum(1))).mean()
+
+    assert loss(t) <= min(loss(x) for x in (t / 1.5, t * 1.5, 1.0))
+
+
 def test_a_clash_is_told_apart(spark):
     t = spark.createDataFrame([("x", "a"), ("x", "b"), ("x", "a"), ("y", "c"), ("y", "c")], "fingerprint string, canon string")
     assert [tuple(r) for r in fingerprint.collisions(t).collect()] == [("x", "b", 1)]
