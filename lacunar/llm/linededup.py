@@ -130,12 +130,13 @@ def _close(kinds: DataFrame, dealt: DataFrame) -> DataFrame:
 def dedup(df: DataFrame, least: int = LEAST, text: str = "text", key: str = "doc_id") -> DataFrame:
     """df with text as deduplicated, and n_lines and n_removed (long), which replace columns of these names."""
     columns = [c for c in df.columns if c not in ("n_lines", "n_removed")]
-    rows = df.withColumn("__line_t", F.coalesce(F.col(text), F.lit(""))).withColumn("__line_o", F.coalesce(F.col(key).cast("long"), F.lit(NO_ID))).withColumn("__line_th", F.xxhash64("__line_t"))
+    t = F.coalesce(F.col(text), F.lit(""))
+    rows = df.withColumn("__line_o", F.coalesce(F.col(key).cast("long"), F.lit(NO_ID))).withColumn("__line_th", F.xxhash64(t))  # the text itself is dealt once
     dealt = rows.repartition(parts(df, 8.0), "__line_o", "__line_th")
-    named = lambda d: d.select(F.col("__line_o").alias("o"), F.col("__line_th").alias("th"), F.col("__line_t").alias("t"))
+    named = lambda d: d.select(F.col("__line_o").alias("o"), F.col("__line_th").alias("th"), t.alias("t"))
     gone = materialize(removals(named(rows), named(dealt), least)).select(F.col("o").alias("__line_o"), F.col("th").alias("__line_th"), F.col("gone").alias("__line_gone"))
     copy = F.row_number().over(Window.partitionBy("__line_o", "__line_th").orderBy(F.lit(1)))  # rows equal in id and text
-    out = dealt.join(gone, ["__line_o", "__line_th"], "left").withColumn("__line_copy", copy).withColumn("__line_all", F.split("__line_t", "\n", -1))
+    out = dealt.join(gone, ["__line_o", "__line_th"], "left").withColumn("__line_copy", copy).withColumn("__line_all", F.split(t, "\n", -1))
     goes = lambda line, i: _filled(line) & ((F.col("__line_copy") > 1) | F.coalesce(F.array_contains("__line_gone", i), F.lit(False)))
     kept = F.when((F.col("__line_copy") > 1) | F.col("__line_gone").isNotNull(), F.filter("__line_all", lambda line, i: ~goes(line, i))).otherwise(F.col("__line_all"))
     out = out.withColumn("__line_kept", kept)
