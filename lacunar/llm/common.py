@@ -110,6 +110,16 @@ def _release() -> None:
         return
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Has the session hand at most so many rows at once to Python workers, where it would hand over more.
+
+    Both the executor and its workers hold whole batches, of whole texts here.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def tidy(run: Callable) -> Callable:
     """The function of a mapInArrow that leaves its worker small.
 

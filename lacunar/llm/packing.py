@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunked, materialize, tidy, tidy_pair
+from .common import chunked, materialize, small_batches, tidy, tidy_pair
 
 SIZE = 2048
 #: Pieces that one task places, about.
@@ -149,6 +149,7 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 def pieces(df: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id", size: int = SIZE) -> DataFrame:
     """The pieces of every whole text, in one narrow pass. tokenizer: a file's path."""
+    small_batches(df.sparkSession)
 
     def run(batches):
         words = words_of(tokenizer)

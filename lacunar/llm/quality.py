@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunked, tidy, unit_hash
+from .common import chunked, small_batches, tidy, unit_hash
 from .urlfilter import logistic
 
 SAMPLE = 6000
@@ -229,6 +229,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
 
 def score(df: DataFrame, field: Field, held_out: Column, threshold: float = 0.3, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row in one narrow pass."""
+    small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(field)  # some hundred numbers
 
     def run(batches):
@@ -241,6 +242,7 @@ def score(df: DataFrame, field: Field, held_out: Column, threshold: float = 0.3,
 
 def keep_good(df: DataFrame, field: Field, threshold: float = 0.3, text: str = "text") -> DataFrame:
     """The rows of df whose text scores threshold or more, all columns as they are."""
+    small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(field)
     place = df.columns.index(text)
 
