@@ -39,7 +39,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import labels, materialize, parts, tidy, tidy_group, tidy_pair
+from .common import labels, materialize, parts, small_batches, tidy, tidy_group, tidy_pair
 from .components import components
 from .lpf import _ddl, _grouped, _pack, _table, _unpack
 
@@ -103,31 +103,37 @@ def _digest(s: np.ndarray) -> tuple[int, int]:
 
 def _codes(tokens: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray]:
     """Range and code of each token."""
-    return (tokens >> np.uint64(32)) % np.uint64(ranges), tokens & np.uint64(0xFFFFFFFF)
+    return ((tokens >> np.uint64(32)) % np.uint64(ranges)).astype(np.int32), tokens.astype(np.uint32)
 
 
 class _Sets:
-    """The distinct sets of a bucket."""
+    """The distinct sets of a bucket, each made from its text when it is asked for."""
 
     def __init__(self, t: pa.Table, n: int):
-        unzip, seen = zstandard.ZstdDecompressor(), {}
+        self.n, self.unzip, seen = n, zstandard.ZstdDecompressor(), {}
         for a, c, z in zip(t["h1"].to_pylist(), t["h2"].to_pylist(), t["z"].to_pylist(), strict=True):
             seen.setdefault((a, c), z)
         self.ids = sorted(seen)
         self.zips = [seen[i] for i in self.ids]
-        self.sets = [shingle_set(unzip.decompress(z), n) for z in self.zips]
+
+    def __iter__(self):
+        return (shingle_set(self.unzip.decompress(z), self.n) for z in self.zips)
 
 
 def _send(n: int, ranges: int):
     def run(t: pa.Table) -> pa.Table:
-        tokens, times = np.unique(np.concatenate(_Sets(t, n).sets), return_counts=True)
-        r, code = _codes(tokens, ranges)
+        tokens = np.concatenate(list(_Sets(t, n)))
+        tokens.sort()
+        first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
+        times = np.diff(np.append(first, len(tokens))).astype(np.uint32)
+        r, code = _codes(tokens[first], ranges)
+        del tokens, first
         rows = []
-        for k, i in _grouped(r.astype(np.int64)):
+        for k, i in _grouped(r):
             order = i[np.lexsort((code[i], times[i]))]
-            c, m = code[order].astype(np.uint32), times[order]
+            c, m = code[order], times[order]
             once = int(np.searchsorted(m, 2))
-            rows.append((k, t["b"][0].as_py(), _pack(np.diff(c[:once], prepend=np.uint32(0)), c[once:], m[once:].astype(np.uint32))))
+            rows.append((k, t["b"][0].as_py(), _pack(np.diff(c[:once], prepend=np.uint32(0)), c[once:], m[once:])))
         return _table(rows, _SENT)
 
     return run
@@ -165,9 +171,9 @@ def _prefixes(n: int, percent: int, ranges: int):
         order = np.argsort(key)
         key, held = key[order], held[order]
         here, out = _Sets(t, n), [empty]
-        for (h1, h2), z, s in zip(here.ids, here.zips, here.sets, strict=True):
+        for (h1, h2), z, s in zip(here.ids, here.zips, here, strict=True):
             r, code = _codes(s, ranges)
-            k = r << np.uint64(32) | code
+            k = r.astype(np.uint64) << np.uint64(32) | code
             at = np.minimum(np.searchsorted(key, k), len(key) - 1)
             rank = np.where(key[at] == k, held[at], 0)
             p = len(s) - _needed(len(s), percent) + 1
@@ -246,6 +252,7 @@ def _open(n: int, percent: int):
 
 def join(df: DataFrame, n: int = 3, percent: int = 90, text: str = "text", key: str = "doc_id", group: int = GROUP) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of df."""
+    small_batches(df.sparkSession)
     docs = df.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("o"), F.col(text).cast("binary").alias("t"))
     buckets = parts(df, BUCKET_MB)
     ranges = 4 * buckets
