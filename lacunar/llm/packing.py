@@ -30,7 +30,7 @@ PARTITION = 40_000
 #: that a worker remembers: the first it meets, which are the frequent ones.
 CHUNK = 4_000_000
 KNOWN, SEEN = 300_000, 150_000
-#: Of these, so many stay from one task to the next.
+#: Of the words as written, so many stay from one task to the next; of the lower-cased ones KNOWN.
 KEPT = 100_000
 
 
@@ -78,8 +78,8 @@ class Words:
         return out
 
     def forget(self) -> None:
-        """Keeps the KEPT first words of each kind for the worker's next task."""
-        self.known = dict(islice(self.known.items(), KEPT))
+        """Keeps the first words of each kind for the worker's next task."""
+        self.known = dict(islice(self.known.items(), KNOWN))
         self.seen = dict(islice(self.seen.items(), KEPT))
 
     def ids(self, words: list[str]) -> list[bytes]:
