@@ -64,6 +64,25 @@ def _clean() -> None:
             return
 
 
+#: A key of over one in so many rows is hot; by their rows, fewer keys than this can be.
+SHARE = 1000
+
+
+def meet(rows: DataFrame, groups: DataFrame, on: list[str], size: str) -> DataFrame:
+    """The inner join of rows with groups: one row for each key that is wanted, with its number of rows as ``size``.
+
+    Hot keys are broadcast, fewer than SHARE rows, so that their rows stay where
+    they are read. The other keys are shuffled; none of them can fill a task.
+    Both tables are read more than once, so they should be written ones.
+    """
+    limit = rows.count() / SHARE
+    hot = groups.where(F.col(size) > limit)
+    if hot.isEmpty():
+        return rows.join(groups, on)
+    rest = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(groups.where(F.col(size) <= limit), on)
+    return rows.join(F.broadcast(hot), on).unionByName(rest)
+
+
 def parts(df: DataFrame, per_part_mb: float = 16.0, least: int = 8) -> int:
     """A partition count in proportion to the files that df is read from.
 

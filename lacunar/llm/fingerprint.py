@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, parts, tidy
+from .common import materialize, meet, parts, tidy
 
 LEAST = -(1 << 63)
 
@@ -103,8 +103,8 @@ def edited_pairs(df: DataFrame, text: str = "text", key: str = "doc_id", per_par
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary()), strict=True)], ["bucket", "guard", "o", "kind", "z"])
 
     prints = materialize(docs.mapInArrow(tidy(hashed), "o long, bucket int, fingerprint string"))
-    shared = prints.groupBy("fingerprint").count().where("count > 1").select("fingerprint")
-    marks = prints.join(shared, "fingerprint").select("bucket", F.lit(0).alias("guard"), "o", F.lit(0).alias("kind"), F.lit(None).cast("binary").alias("z"))
+    shared = materialize(prints.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1"))
+    marks = meet(prints, shared, ["fingerprint"], "copies").select("bucket", F.lit(0).alias("guard"), "o", F.lit(0).alias("kind"), F.lit(None).cast("binary").alias("z"))
     texts = docs.mapInArrow(tidy(packed), "bucket int, guard int, o long, kind int, z binary")
     dealt = texts.unionByName(marks).repartition(n, "bucket").sortWithinPartitions("bucket", "guard", "o", "kind", "z")
 

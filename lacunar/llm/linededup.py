@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, parts
+from .common import materialize, meet, parts
 
 #: Least characters of lines that are compared within one edit.
 LEAST = 20
@@ -68,8 +68,8 @@ def removals(texts: DataFrame, dealt: DataFrame, least: int = LEAST) -> DataFram
     keys = [F.when(F.col("n") >= least, _half(F.col("line"), F.col("n") - longer, side)[0]).alias(f"k{2 * longer + side}") for longer in (0, 1) for side in (0, 1)]
     rows = materialize(lines.select("at", "h", "g", *keys))
     kinds = materialize(rows.groupBy("h", "g").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("times"), *(F.first(f"k{i}").alias(f"k{i}") for i in range(4))))
-    again = kinds.where("times > 1").select("h", "g", "first")
-    equal = rows.join(again, ["h", "g"]).where(F.col("at") != F.col("first")).select("at")
+    again = kinds.where("times > 1").select("h", "g", "first", "times")
+    equal = meet(rows, again, ["h", "g"], "times").where(F.col("at") != F.col("first")).select("at")
     close = _close(kinds, dealt)
     # a line one edit from an earlier one goes with all its copies: the first here, the others above
     return equal.unionByName(close).groupBy("at.o", "at.th").agg(F.collect_set("at.no").alias("gone"))

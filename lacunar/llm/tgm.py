@@ -39,7 +39,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import labels, materialize, parts, small_batches, tidy, tidy_group, tidy_pair
+from .common import labels, materialize, meet, parts, small_batches, tidy, tidy_group, tidy_pair
 from .components import components
 from .lpf import _ddl, _grouped, _pack, _table, _unpack
 
@@ -283,13 +283,11 @@ def join(df: DataFrame, n: int = 3, percent: int = 90, text: str = "text", key:
     dealt = docs.select("t").mapInArrow(tidy(zipped), "b int, h1 long, h2 long, z binary").repartition(buckets, "b")
     back = dealt.groupBy("b").applyInArrow(tidy_group(_send(n, ranges)), _ddl(_SENT)).repartition(ranges, "r").groupBy("r").applyInArrow(tidy_group(_meet), _ddl(_BACK))
     made = materialize(dealt.groupBy("b").cogroup(back.groupBy("b")).applyInArrow(tidy_pair(_prefixes(n, percent, ranges)), _MADE))
-    by_token = Window.partitionBy("token")
-    met = made.where("kind = 0").withColumns({"a": F.min(F.struct(*ids)).over(by_token), "y": F.max(F.struct(*ids)).over(by_token)}).where("a <> y").select("token", *ids, "n")
-    met = materialize(met)
+    held = made.where("kind = 0").select("token", *ids, "n")  # a set has a token once
+    alike = held.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64(*ids)).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), *ids)).alias("y")).where("m > 1")
     # tokens with the very same sets say the same: one of them stays, with their number
-    alike = met.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64(*ids)).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), *ids)).alias("y"))
     alike = alike.groupBy("m", "x", "y").agg(F.min("token").alias("token"), F.count(F.lit(1)).alias("times")).select("token", "times", "m")
-    posted = materialize(met.join(alike, "token"))
+    posted = materialize(meet(held, materialize(alike), ["token"], "m"))
 
     home = posted.groupBy(*ids, "n").agg(F.max(F.struct("m", "token"))["token"].alias("g")).withColumn("g", F.xxhash64("g", F.floor(F.log("n") * BANDS)))
     crowd = home.groupBy("g").agg(F.sum("n").alias("c"))
@@ -307,16 +305,17 @@ def join(df: DataFrame, n: int = 3, percent: int = 90, text: str = "text", key:
     crowd = ask.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / QUERIES).alias("c"))
     asking = ask.join(crowd, "g").select("g", F.pmod(F.xxhash64(*ids), F.col("c")).alias("part"), F.lit(1).alias("query"), *ids)
     living = home.join(crowd, "g").select("g", F.explode(F.sequence(F.lit(0).cast("long"), F.col("c") - 1)).alias("part"), F.lit(0).alias("query"), *ids)
-    first = nodes.where("n > 0").groupBy(*ids).agg(F.min("o").alias("node"))
+    first = nodes.where("n > 0").groupBy(*ids).agg(F.min("o").alias("node"), F.count(F.lit(1)).alias("rows"))
     seats = asking.unionByName(living).join(first, ids).join(made.where("kind = 1").select(*ids, "z"), ids)
     dealt = seats.select("g", "part", "query", F.col("node").alias("o"), "z").repartition(parts(df, 16.0), "g", "part").sortWithinPartitions("g", "part", "query", "o")
     edges = dealt.mapInArrow(tidy(_open(n, percent)), "a long, b long")
 
     found = components(edges).withColumnRenamed("node", "_node")
-    named = nodes.join(first.select(*ids, "node"), ids, "left")
-    named = named.join(found, F.col("node") == F.col("_node"), "left")
-    least = F.coalesce("component", "node", "o")
-    return named.select(F.when(F.col("o") != NO_ID, F.col("o")).alias("doc_id"), F.col("n").alias("n_shingles"), F.when(least != NO_ID, least).alias("component_id"))
+    classes = first.join(found, F.col("node") == F.col("_node"), "left").select(*ids, "rows", F.coalesce("component", "node").alias("least"))
+    named = meet(nodes.where("n > 0"), materialize(classes), ids, "rows").select("o", "n", "least")
+    named = named.unionByName(nodes.where("n = 0").select("o", "n", F.col("o").alias("least")))
+    known = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
+    return named.select(known("o").alias("doc_id"), F.col("n").alias("n_shingles"), known("least").alias("component_id"))
 
 
 def one_of_each(df: DataFrame, n: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:

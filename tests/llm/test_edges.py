@@ -266,3 +266,19 @@ def test_a_long_word_or_run_of_blanks_leaves_other_words_alone(spark):
     assert len({tgm.shingle_set(w.encode())[0] for w in words}) == len(words)  # long words are told apart
     got = tgm.join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     assert {r["component_id"] for r in got} == {0}
+
+
+def test_hot_keys_meet_as_others_do(spark):
+    from lacunar.llm.common import meet
+
+    def both(keys):
+        rows = spark.range(len(keys)).withColumn("k", F.element_at(F.array(*map(F.lit, keys)), F.col("id").cast("int") + 1))
+        groups = rows.groupBy("k").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("a")).where("c > 1")
+        got, want = meet(rows, groups, ["k"], "c"), rows.join(groups, "k")
+        return sorted(map(tuple, got.select("id", "k", "c", "a").collect())), sorted(map(tuple, want.select("id", "k", "c", "a").collect()))
+
+    got, want = both([7] * 900 + [k // 2 for k in range(100, 3100)])  # one hot, many of two rows, 7 apart
+    assert got == want and len(got) == 3900
+    got, want = both([k // 2 for k in range(4000)])  # none hot
+    assert got == want and len(got) == 4000
+    assert both([1, 1, 2])[0] == [(0, 1, 2, 0), (1, 1, 2, 0)]
