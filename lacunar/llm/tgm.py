@@ -310,12 +310,18 @@ def join(df: DataFrame, n: int = 3, percent: int = 90, text: str = "text", key:
     dealt = seats.select("g", "part", "query", F.col("node").alias("o"), "z").repartition(parts(df, 16.0), "g", "part").sortWithinPartitions("g", "part", "query", "o")
     edges = dealt.mapInArrow(tidy(_open(n, percent)), "a long, b long")
 
+    known = nodes.where("n > 0").where(F.col("o") != NO_ID)
+    several = known.groupBy("o").agg(F.min(F.struct(*ids)).alias("x"), F.max(F.struct(*ids)).alias("y")).where("x <> y").select("o")
+    if not several.isEmpty():  # an id joins the nodes of its sets
+        own = known.select("o", *ids).distinct().join(several, "o").join(first, ids)
+        edges = edges.unionByName(own.select(F.col("o").alias("a"), F.col("node").alias("b")))
+
     found = components(edges).withColumnRenamed("node", "_node")
     classes = first.join(found, F.col("node") == F.col("_node"), "left").select(*ids, "rows", F.coalesce("component", "node").alias("least"))
     named = meet(nodes.where("n > 0"), materialize(classes), ids, "rows").select("o", "n", "least")
     named = named.unionByName(nodes.where("n = 0").select("o", "n", F.col("o").alias("least")))
-    known = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
-    return named.select(known("o").alias("doc_id"), F.col("n").alias("n_shingles"), known("least").alias("component_id"))
+    shown = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
+    return named.select(shown("o").alias("doc_id"), F.col("n").alias("n_shingles"), shown("least").alias("component_id"))
 
 
 def one_of_each(df: DataFrame, n: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:

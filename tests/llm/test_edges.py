@@ -282,3 +282,10 @@ def test_hot_keys_meet_as_others_do(spark):
     got, want = both([k // 2 for k in range(4000)])  # none hot
     assert got == want and len(got) == 4000
     assert both([1, 1, 2])[0] == [(0, 1, 2, 0), (1, 1, 2, 0)]
+
+
+def test_an_id_joins_all_that_its_texts_link_with(spark):
+    a, b, c = (_text(random.Random(k), 40) for k in range(3))
+    df = spark.createDataFrame([(5, a), (5, b), (3, b), (2, a), (9, c), (7, None), (7, a)], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["component_id"]) for r in tgm.join(df).where("n_shingles > 0").collect())
+    assert got == [(2, 2), (3, 2), (5, 2), (5, 2), (7, 2), (9, 9)]
