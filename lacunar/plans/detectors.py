@@ -7,9 +7,11 @@ segments); everything else is built-in expressions.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import expressions as X
@@ -198,7 +200,10 @@ class PatternDetector(Params):
     def fit_predict_occurrences(self, df: DataFrame) -> DataFrame:
         """(series_id, idx, loc); y marks the labelled occurrences."""
         ranges = series.pattern_ranges(df, compat=self.compat)
-        w = max(2, ranges.agg(F.bround(F.avg(F.col("e") - F.col("b") + 1)).cast("int").alias("w")).first()["w"] or 2)
+        return by_window(df, learnt_sizes(df, ranges), lambda rows, w: self._occurrences(rows, ranges.join(rows.select("series_id").distinct(), "series_id", "left_semi"), w))
+
+    def _occurrences(self, df: DataFrame, ranges: DataFrame, w: int) -> DataFrame:
+        """The same of series with one window length."""
         templates = shape_templates(df, ranges, self.n_clusters, self.alpha, self.warping_width) if "shape" in BLOCKS[self.features] else None
         rows = scale_features(features(df, w, self.features, templates, self.warping_width), self.scaling)
         rows = rows.join(series.label_segments(rows, ranges, w), ["series_id", "idx"])
@@ -225,44 +230,107 @@ class PatternDetector(Params):
         return find_locations(spine, ranges, w, self.compat, self.smoothing)
 
 
-def fingerprint_threshold(pats: DataFrame) -> DataFrame:
-    """(series_id, limit): greatest of the least int(0.9 N) warped distances between different patterns, both ways."""
-    from pyspark.sql import Window
+def by_window(df: DataFrame, sizes: DataFrame, run) -> DataFrame:
+    """run(rows, w) for the series of each window length, together. sizes: (series_id, w).
+
+    One plan for each length, not for each series; w is a literal in all of them.
+    """
+    lengths = sorted(r["w"] for r in sizes.select("w").distinct().collect()) or [2]
+    if len(lengths) == 1:
+        return run(df, lengths[0])
+    each = [run(df.join(sizes.where(F.col("w") == w).select("series_id"), "series_id", "left_semi"), w) for w in lengths]
+    return reduce(DataFrame.unionByName, each)
+
+
+def learnt_sizes(df: DataFrame, ranges: DataFrame) -> DataFrame:
+    """(series_id, w) of every series: the mean labelled length, 2 at least."""
+    return df.select("series_id").distinct().join(series.window_size(ranges), "series_id", "left").withColumn("w", F.greatest(F.coalesce("w", F.lit(2)), F.lit(2)))
+
 
+def shape_distance(a: Column, b: Column, band: int | None = None) -> Column:
+    """Warped distance; a band is never less than the difference in length."""
+    return X.dtw(a, b, None if band is None else F.greatest(F.lit(band), F.abs(F.size(a) - F.size(b))))
+
+
+def fingerprint_threshold(pats: DataFrame, distance=shape_distance) -> DataFrame:
+    """(series_id, limit): greatest of the least int(0.9 N) distances between different patterns z, both ways."""
     a, b = pats.select("series_id", F.col("range_id").alias("i"), F.col("z").alias("zi")), pats.select("series_id", F.col("range_id").alias("j"), F.col("z").alias("zj"))
-    d = a.join(b, "series_id").where("i <> j").withColumn("d", X.dtw(F.col("zi"), F.col("zj")))
+    d = a.join(b, "series_id").where("i <> j").withColumn("d", distance(F.col("zi"), F.col("zj")))
     by = Window.partitionBy("series_id")
     d = d.withColumn("r", F.row_number().over(by.orderBy("d", "i", "j"))).withColumn("n", F.count(F.lit(1)).over(by))
     return d.where(F.col("r") <= F.floor(F.col("n") * 0.9)).groupBy("series_id").agg(F.max("d").alias("limit"))
 
 
 class FingerprintDetector(Params):
-    """Occurrences by matching every segment to every labelled shape."""
+    """Occurrences by matching every segment to every labelled pattern.
 
-    defaults = {"w": 3, "compat": False}
+    detector_type: dtw compares z-normed values, feature the scaled features of
+    the segments that start where the labelled patterns do. w: a length for all
+    series, or None to learn each series' own from its labels.
+    """
 
-    def fit_predict_fingerprints(self, df: DataFrame) -> DataFrame:
-        """(series_id, idx, loc): shifted centres of the runs of matching segments.
+    defaults = {"w": None, "detector_type": "dtw", "features": "stat_time", "n_clusters": 10, "warping_width": 0.1, "alpha": 0.5, "compat": False}
+
+    def _each(self, df: DataFrame, run) -> DataFrame:
+        return run(df, self.w) if self.w else by_window(df, self.sizes, run)
+
+    def _distance(self, w: int):
+        if self.detector_type == "feature":
+            return lambda a, b: F.sqrt(X.euclidean2(a, b))
+        return lambda a, b: shape_distance(a, b, int(self.warping_width * w) or None)
+
+    def _raw(self, df: DataFrame, w: int) -> DataFrame:
+        return features(df, w, self.features, self.templates, self.warping_width).select("series_id", "idx", F.posexplode("features").alias("k", "v"))
+
+    def _segments(self, df: DataFrame, w: int) -> DataFrame:
+        """(series_id, idx, z) of all full segments."""
+        if self.detector_type == "dtw":
+            return series.segments(df, w).select("series_id", "idx", series.znorm(F.col("seg"), flat_zero=True).alias("z"))
+        scaled = self._raw(df, w).join(self.scale, ["series_id", "k"]).withColumn("v", F.when(F.col("s") > 0, (F.col("v") - F.col("m")) / F.col("s")).otherwise(0.0))
+        return scaled.groupBy("series_id", "idx").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda x: x["v"]).alias("z"))
+
+    def fit_fingerprints(self, df: DataFrame):
+        """Learns window, shapes and limit of each series from the occurrences that y marks."""
+        if self.detector_type not in ("dtw", "feature"):
+            raise ValueError("detector_type is dtw or feature")
+        self.ranges = ranges = series.pattern_ranges(df, compat=self.compat)
+        self.sizes = None if self.w else learnt_sizes(df, ranges)
+        self.mean = ranges.groupBy("series_id").agg(F.avg(F.col("e") - F.col("b") + 1).alias("mean"))
+        if self.detector_type == "dtw":
+            self.shapes = series.extract_patterns(df, ranges).select("series_id", "range_id", series.znorm(F.col("pattern")).alias("z"))
+        else:
+            self.templates = shape_templates(df, ranges, self.n_clusters, self.alpha, self.warping_width) if "shape" in BLOCKS[self.features] else None
+            self.scale = self._each(df, self._raw).groupBy("series_id", "k").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s"))
+            starts = ranges.select("series_id", "range_id", F.col("b").alias("idx"))
+            self.shapes = self._each(df, self._segments).join(starts, ["series_id", "idx"]).select("series_id", "range_id", "z")
+        self.limit = self._each(self.shapes, lambda pats, w: fingerprint_threshold(pats, self._distance(w)))
+        return self
+
+    def _found(self, df: DataFrame, w: int) -> DataFrame:
+        """(series_id, idx): shifted centres of the runs of matching segments.
 
         A series with a run over ten times its mean labelled length, or where
         nearly all segments match, has none. Only full segments are matched.
         """
-        w = self.w
-        ranges = series.pattern_ranges(df, compat=self.compat)
-        pats = series.extract_patterns(df, ranges).withColumn("z", series.znorm(F.col("pattern")))
-        limit = fingerprint_threshold(pats)
-        seg = series.segments(df, w).withColumn("z", series.znorm(F.col("seg"), flat_zero=True))
-        shapes = pats.select("series_id", F.col("z").alias("shape"))
-        near = seg.select("series_id", "idx", "z").join(F.broadcast(shapes) if shapes.count() <= 10_000 else shapes, "series_id").withColumn("d", X.dtw(F.col("z"), F.col("shape")))
-        hit = near.groupBy("series_id", "idx").agg(F.min("d").alias("d")).join(F.broadcast(limit), "series_id").withColumn("hit", (F.col("d") < F.col("limit")).cast("int"))
+        shapes = self.shapes.select("series_id", F.col("z").alias("shape"))
+        near = self._segments(df, w).join(F.broadcast(shapes) if shapes.count() <= 10_000 else shapes, "series_id").withColumn("d", self._distance(w)(F.col("z"), F.col("shape")))
+        hit = near.groupBy("series_id", "idx").agg(F.min("d").alias("d")).join(self.limit, "series_id").withColumn("hit", (F.col("d") < F.col("limit")).cast("int"))
         runs = series.pattern_ranges(hit, "hit", self.compat)
-        mean = ranges.groupBy("series_id").agg(F.avg(F.col("e") - F.col("b") + 1).alias("mean"))
         odd = runs.groupBy("series_id").agg(F.max(F.col("e") - F.col("b") + 1).alias("top"), F.sum(F.col("e") - F.col("b") + 1).alias("hits"))
         all_ = hit.groupBy("series_id").agg(F.count(F.lit(1)).alias("n"))
-        fine = odd.join(mean, "series_id").join(all_, "series_id").where((F.col("top") <= 10 * F.col("mean")) & (F.col("hits") < F.col("n") - w)).select("series_id")
+        fine = odd.join(self.mean, "series_id").join(all_, "series_id").where((F.col("top") <= 10 * F.col("mean")) & (F.col("hits") < F.col("n") - w)).select("series_id")
         found = series.centres(runs).join(fine, "series_id", "left_semi").select("series_id", F.col("centre").alias("idx"))
-        kept = series.keep_apart(found, w, compat=self.compat)
-        return series.on_spine(df.select("series_id", "idx"), kept, "loc", shift=int(w / 2) - 1 if w > 1 else 0)
+        shift = int(w / 2) - 1 if w > 1 else 0
+        return series.keep_apart(found, w, compat=self.compat).select("series_id", (F.col("idx") + shift).alias("idx"))
+
+    def predict_fingerprints(self, df: DataFrame) -> DataFrame:
+        """(series_id, idx, loc) of other rows of the series seen by fit_fingerprints; other series have no occurrences."""
+        return series.on_spine(df.select("series_id", "idx"), self._each(df, self._found), "loc")
+
+    def fit_predict_fingerprints(self, df: DataFrame) -> DataFrame:
+        """(series_id, idx, loc) of the rows fitted on; the labelled centres join where fewer are found than labelled."""
+        found = self.fit_fingerprints(df)._each(df, self._found)
+        return series.on_spine(df.select("series_id", "idx"), series.repair(found, series.centres(self.ranges)), "loc")
 
 
 # suspicion
@@ -339,15 +407,33 @@ class AbsenceDetector(Params):
     defaults = {"missing_features": "all", "missing_alpha": 0.95, "occurrence_detection": "fingerprint", "detector": None}
 
     def _locate(self, df: DataFrame) -> DataFrame:
-        kinds = {"pattern": lambda: (self.detector or PatternDetector()).fit_predict_occurrences(df), "fingerprint": lambda: (self.detector or FingerprintDetector()).fit_predict_fingerprints(df)}
-        if self.occurrence_detection not in kinds:
+        if self.occurrence_detection == "pattern":
+            got = (self.detector or PatternDetector()).fit_predict_occurrences(df)
+        elif self.occurrence_detection == "fingerprint":
+            self.matcher = self.detector or FingerprintDetector()
+            got = self.matcher.fit_predict_fingerprints(df)
+        else:
             raise ValueError("occurrence_detection is pattern or fingerprint")
-        return df.join(kinds[self.occurrence_detection](), ["series_id", "idx"])
+        return df.join(got, ["series_id", "idx"])
+
+    def _model(self, located: DataFrame) -> DataFrame:
+        return fit_weibull(descriptors(located), self.missing_features)
+
+    def fit(self, df: DataFrame):
+        """Learns occurrences and the model of absence from labelled series."""
+        self.model = self._model(self._locate(df))
+        return self
 
     def fit_predict(self, df: DataFrame) -> DataFrame:
-        df = self._locate(df)
-        self.model = fit_weibull(descriptors(df), self.missing_features)
-        return self.predict_suspicion(df)
+        located = self._locate(df)
+        self.model = self._model(located)
+        return self.predict_suspicion(located)
+
+    def predict(self, df: DataFrame) -> DataFrame:
+        """Absences in other rows of the series fitted on, found by their fingerprints; idx begins at 0 there too."""
+        if self.occurrence_detection != "fingerprint":
+            raise NotImplementedError("occurrences of other rows are found by fingerprint; give known ones to predict_suspicion")
+        return self.predict_suspicion(df.join(self.matcher.predict_fingerprints(df), ["series_id", "idx"]))
 
     def predict_suspicion(self, df: DataFrame) -> DataFrame:
         return suspicion(df, self.model, alpha=self.missing_alpha)
@@ -356,10 +442,8 @@ class AbsenceDetector(Params):
 class AverageMissing(AbsenceDetector):
     """The same with the mean interarrival time as the limit."""
 
-    def fit_predict(self, df: DataFrame) -> DataFrame:
-        df = self._locate(df)
-        self.model = mean_interarrival(df)
-        return self.predict_suspicion(df)
+    def _model(self, located: DataFrame) -> DataFrame:
+        return mean_interarrival(located)
 
     def predict_suspicion(self, df: DataFrame) -> DataFrame:
         return average_suspicion(df, self.model)
@@ -418,6 +502,9 @@ class DiscordDetector(Params):
         self.train = train
         return self
 
+    def fit_predict(self, train: DataFrame, test: DataFrame) -> DataFrame:
+        return self.fit(train).predict_suspicion(test)
+
     def predict_suspicion(self, test: DataFrame) -> DataFrame:
         """(series_id, idx, score, pred) of the rows of test, idx as in test."""
         from ..operators import profile

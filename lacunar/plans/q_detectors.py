@@ -140,13 +140,25 @@ _FOUND = f"""{_DTW.replace('WITH', 'WITH RECURSIVE', 1)}, limits AS (SELECT seri
   near AS (SELECT g.series_id, g.idx, min({dtw_sql('g.zg', 't.z')}) AS d FROM zsegs g JOIN zs t ON t.series_id = g.series_id GROUP BY 1, 2),
   hits AS (SELECT n.series_id, n.idx FROM near n JOIN limits l ON l.series_id = n.series_id AND n.d < l.lim), runs AS {islands('hits', 'true')},
   odd AS (SELECT series_id, max(e - b + 1) AS top, sum(e - b + 1) AS hits FROM runs GROUP BY 1), fine AS (SELECT o.series_id FROM odd o WHERE o.top <= 10 * (SELECT avg(e - b + 1) FROM ranges r WHERE r.series_id = o.series_id) AND o.hits < (SELECT count(*) FROM near n WHERE n.series_id = o.series_id) - 3),
-  found AS (SELECT series_id, (b + e) // 2 AS idx FROM runs WHERE series_id IN (SELECT series_id FROM fine)), {apart_sql('found', 3, 'kept')}"""
-_LOCS = "SELECT s.*, CASE WHEN k.idx IS NULL THEN 0 ELSE 1 END AS loc FROM series s LEFT JOIN kept k ON k.series_id = s.series_id AND k.idx = s.idx"
+  found AS (SELECT series_id, (b + e) // 2 AS idx FROM runs WHERE series_id IN (SELECT series_id FROM fine)), {apart_sql('found', 3, 'kept')},
+  placed AS (SELECT series_id, idx FROM kept UNION SELECT r.series_id, (r.b + r.e) // 2 FROM ranges r WHERE (SELECT count(*) FROM kept k WHERE k.series_id = r.series_id) < (SELECT count(*) FROM ranges q WHERE q.series_id = r.series_id))"""
+_LOCS = "SELECT s.*, CASE WHEN k.idx IS NULL THEN 0 ELSE 1 END AS loc FROM series s LEFT JOIN placed k ON k.series_id = s.series_id AND k.idx = s.idx"
 
 
 @query("pip_2_fingerprint_detector", "series_id s, idx i, loc i", f"{_FOUND} {_LOCS}")
 def _(spark, d):
-    return FingerprintDetector().fit_predict_fingerprints(hourly(spark, d))
+    return FingerprintDetector(w=3).fit_predict_fingerprints(hourly(spark, d))
+
+
+@query("pip_2_fingerprint_features", "series_id s, idx i, loc i")
+def _(spark, d):
+    return FingerprintDetector(detector_type="feature").fit_predict_fingerprints(hourly(spark, d))
+
+
+@query("pip_2_fingerprint_of_later_rows", "series_id s, idx i, loc i")
+def _(spark, d):
+    df = hourly(spark, d)
+    return FingerprintDetector().fit_fingerprints(df).predict_fingerprints(df.drop("y"))
 
 
 @query("pip_1_pattern_detector", "series_id s, idx i, loc i")
@@ -161,7 +173,7 @@ def _(spark, d):
 
 @query("pip_4_average_missing_detector", A, f"{_FOUND}, located AS ({_LOCS}), {_MEAN}, {_LAST} SELECT s.series_id, s.idx, s.ts, s.loc, CASE WHEN s.gap > m.mean THEN 1 ELSE 0 END AS prob, CASE WHEN s.gap > m.mean THEN 1 ELSE 0 END AS pred FROM since s LEFT JOIN mean_gap m ON m.series_id = s.series_id")
 def _(spark, d):
-    return AverageMissing().fit_predict(hourly(spark, d))
+    return AverageMissing(detector=FingerprintDetector(w=3)).fit_predict(hourly(spark, d))
 
 
 def _one(spark, d):

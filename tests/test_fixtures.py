@@ -232,3 +232,33 @@ def test_point_detector_takes_each_series_alone(spark):
 
     with pytest.raises(ValueError):
         ADBase(features="stat", missing_classifier="IF").fit_predict(df)
+
+
+def test_fingerprints_of_other_rows(spark):
+    """Shapes, windows and limits come from the labels of each series; other rows need none."""
+    shapes = {"a": [0.0, 5.0, 9.0, 5.0, 0.5, 1.0], "b": [9.0, 4.0, 1.0, 7.0]}
+    rows, starts = [], {}
+    for s, shape in shapes.items():
+        rng = np.random.default_rng(len(shape))
+        values = rng.normal(0, 1, 260)
+        starts[s] = list(range(10, 240, 40))
+        for k, b in enumerate(starts[s]):
+            values[b : b + len(shape)] = np.array(shape) * 10 + 0.1 * (k % 3) * np.arange(len(shape)) ** 2  # later ones are like labelled ones
+        rows += [(s, i, float(v), int(any(b <= i < b + len(shape) for b in starts[s][:4]))) for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "series_id string, idx long, value double, y int").withColumn("ts", F.expr("timestamp '2024-01-01' + make_interval(0, 0, 0, 0, cast(idx as int))"))
+    sizes = detectors.learnt_sizes(df, series.pattern_ranges(df))
+    assert {r["series_id"]: r["w"] for r in sizes.collect()} == {"a": 6, "b": 4}
+    train, later = df.where("idx < 160"), df.where("idx >= 160").withColumn("idx", F.col("idx") - 160).drop("y")
+    for kind in ("dtw", "feature"):
+        d = detectors.FingerprintDetector(detector_type=kind, features="stat").fit_fingerprints(train)
+        got = {(r["series_id"], r["idx"]) for r in d.predict_fingerprints(later).where("loc = 1").collect()}
+        for s, shape in shapes.items():
+            w = len(shape)
+            want = [b - 160 + w // 2 - 1 for b in starts[s] if b >= 160]
+            assert all(any(x == s and abs(i - p) <= 2 for x, i in got) for p in want), (kind, s, got)
+    whole = detectors.FingerprintDetector().fit_predict_fingerprints(train).where("loc = 1").groupBy("series_id").count().collect()
+    assert all(r["count"] >= 4 for r in whole) and len(whole) == 2
+    absent = detectors.AverageMissing().fit(train).predict(later)
+    assert absent.columns == ["series_id", "idx", "ts", "loc", "prob", "pred"] and absent.count() == later.count()
+    with pytest.raises(ValueError):
+        detectors.FingerprintDetector(detector_type="none").fit_fingerprints(train)
