@@ -8,9 +8,11 @@ task. So the exact join costs n * n distances but ships k rows a query and tile.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,12 +24,13 @@ BLOCK = 1024
 def distances(x: np.ndarray, y: np.ndarray, metric: str = "euclidean", p: float = 3.0) -> np.ndarray:
     """All distances of the rows of x to those of y."""
     if metric == "euclidean":
-        d = (x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * x @ y.T
-        near = d < 1e-6 * (1 + (x * x).sum(1)[:, None])  # cancellation: those again by difference
-        if near.any():
-            i, j = np.nonzero(near)
-            d[i, j] = ((x[i] - y[j]) ** 2).sum(1)
-        return np.sqrt(np.maximum(d, 0))
+        with np.errstate(over="ignore", invalid="ignore"):
+            d = (x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * x @ y.T
+            i, j = np.nonzero(~(d >= 1e-6 * (1 + (x * x).sum(1)[:, None])) | ~np.isfinite(d))  # cancellation: those again by difference
+            for k in range(0, len(i), 1 << 16):
+                a, b = i[k : k + (1 << 16)], j[k : k + (1 << 16)]
+                d[a, b] = ((x[a] - y[b]) ** 2).sum(1)
+            return np.sqrt(np.maximum(d, 0))
     if metric == "cosine":
         nx, ny = np.sqrt((x * x).sum(1)), np.sqrt((y * y).sum(1))
         with np.errstate(divide="ignore", invalid="ignore"):
@@ -55,6 +58,42 @@ def _blocks(points: DataFrame, name: str, size: int, by: str | None = None) -> D
     return points.groupBy(b.alias(f"b{name}"), *([by] if by else [])).agg(F.collect_list("id").alias(f"ids{name}"), F.collect_list("features").alias(f"x{name}"))
 
 
+def pairs(points: DataFrame, others: DataFrame, measure: Callable[[np.ndarray, np.ndarray], np.ndarray], name: str = "d", block: int = BLOCK) -> DataFrame:
+    """(id, other, name) of every point and every other one of another id: the measure of x's rows and y's.
+
+    Blocks hold vectors of one size. Null vectors, those that hold a null, and
+    pairs of different sizes measure null; pairs with a null id are left out.
+    """
+
+    def dealt(df: DataFrame, end: str) -> DataFrame:
+        whole = F.when(F.forall("features", lambda v: v.isNotNull()), F.col("features").cast("array<double>"))
+        df = df.select(F.col("id").cast("long").alias("id"), whole.alias("x")).where("id is not null")
+        n = max(1, -(-df.count() // block))
+        size = F.when(F.col("x").isNull(), -1).otherwise(F.size("x")).alias(f"size{end}")
+        df = df.select("id", size, F.coalesce("x", F.array().cast("array<double>")).alias("x"), F.pmod(F.xxhash64("id"), F.lit(n)).alias(f"b{end}"))
+        # a number of partitions that is asked for stays: few rows, each of a block
+        return df.repartition(n, f"b{end}").groupBy(f"b{end}", f"size{end}").agg(F.collect_list(F.struct("id", "x")).alias(f"p{end}"))
+
+    def read(col: pa.Array, k: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+        rows = col[k].values
+        return rows.field("id").to_numpy(), rows.field("x").flatten().to_numpy().reshape(len(rows), max(size, 0))
+
+    def tile(batches):
+        for batch in batches:
+            for k, (n, m) in enumerate(zip(batch.column("sizeq").to_pylist(), batch.column("sizep").to_pylist(), strict=True)):
+                (iq, x), (ip, y) = (read(batch.column(c), k, s) for c, s in (("pq", n), ("pp", m)))
+                step = max(1, (1 << 16) // len(ip))
+                for at in range(0, len(iq), step):
+                    i = iq[at : at + step]
+                    other = i[:, None] != ip[None, :]
+                    d = measure(x[at : at + step], y)[other] if n == m >= 0 else None
+                    a, b = np.repeat(i, other.sum(1)), np.broadcast_to(ip, other.shape)[other]
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(len(a), pa.float64()) if d is None else pa.array(d)], ["id", "other", name])
+
+    tiles = dealt(points, "q").crossJoin(dealt(others, "p"))  # pairs of blocks, not of rows
+    return tiles.select("sizeq", "pq", "sizep", "pp").mapInArrow(tile, f"id long, other long, {name} double")
+
+
 def knn(points: DataFrame, queries: DataFrame, k: int, metric: str = "euclidean", exclude_self: bool = True, block: int = BLOCK, by: str | None = None) -> DataFrame:
     """(id, other, d, rank 1..k): the k nearest points of every query, ties by id.
 

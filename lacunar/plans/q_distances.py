@@ -69,7 +69,12 @@ def _(spark, d):
 _LABELLED = f"{POINTS}, near AS (SELECT a.id, b.id AS other, a.features AS x, b.features AS y FROM pts a JOIN pts b ON b.label = 1 AND a.id <> b.id)"
 
 
-def _near(spark, d):
+def _near(spark, d, measure, name="d"):
+    p = points(spark, d)
+    return neighbors.pairs(p, p.where("label = 1"), measure, name)
+
+
+def _near_rows(spark, d):
     p = points(spark, d)
     some = p.where("label = 1").select(F.col("id").alias("other"), F.col("features").alias("y"))
     return p.select("id", F.col("features").alias("x")).join(some, F.col("id") != F.col("other"))
@@ -90,7 +95,9 @@ for _name, (_metric, _sql) in _DIST.items():
 
     @query(_name, "id i, other i, d d", f"{_LABELLED} SELECT id, other, {_sql} AS d FROM near")
     def _(spark, d, metric=_metric):
-        return _near(spark, d).withColumn("d", X.distance(F.col("x"), F.col("y"), metric))
+        if metric in ("euclidean", "chebyshev"):
+            return _near(spark, d, lambda x, y: neighbors.distances(x, y, metric))
+        return _near_rows(spark, d).withColumn("d", X.distance(F.col("x"), F.col("y"), metric))
 
 
 @query("dis_4_feature_norm", "id i, norm d", f"{POINTS} SELECT id, sqrt(list_dot_product(features, features)) AS norm FROM pts")
@@ -100,12 +107,12 @@ def _(spark, d):
 
 @query("dis_7_linear_kernel", "id i, other i, k d", f"{_LABELLED} SELECT id, other, list_dot_product(x, y) AS k FROM near")
 def _(spark, d):
-    return _near(spark, d).withColumn("k", X.dot(F.col("x"), F.col("y")))
+    return _near_rows(spark, d).withColumn("k", X.dot(F.col("x"), F.col("y")))
 
 
 @query("dis_8_rbf_kernel", "id i, other i, k d", f"{_LABELLED} SELECT id, other, exp(-pow(list_distance(x, y), 2) / 2.0) AS k FROM near")
 def _(spark, d):
-    return _near(spark, d).withColumn("k", X.rbf(F.col("x"), F.col("y"), 2.0))
+    return _near_rows(spark, d).withColumn("k", X.rbf(F.col("x"), F.col("y"), 2.0))
 
 
 # joins

@@ -1,6 +1,7 @@
 """Hand-worked cases of the series operators and the NumPy routines."""
 
 import math
+import os
 
 import numpy as np
 import pytest
@@ -262,3 +263,40 @@ def test_fingerprints_of_other_rows(spark):
     assert absent.columns == ["series_id", "idx", "ts", "loc", "prob", "pred"] and absent.count() == later.count()
     with pytest.raises(ValueError):
         detectors.FingerprintDetector(detector_type="none").fit_fingerprints(train)
+
+
+ODD_PAIRS = {
+    "euclidean": (lambda x, y: neighbors.distances(x, y, "euclidean"), lambda x, y: X.distance(x, y, "euclidean")),
+}
+
+
+@pytest.mark.parametrize("kind", ODD_PAIRS)
+def test_pairs_equal_the_column_functions_on_odd_vectors(spark, kind):
+    measure, column_of = ODD_PAIRS[kind]
+    rows = [(i, np.random.default_rng(i).normal(size=3).tolist(), i % 3 - 1) for i in range(40)]
+    rows += [(100, rows[2][1], 1), (101, None, 1), (102, [1.0, None, 2.0], 1), (103, [1.0, 2.0], 1), (104, [0.0, 0.0, 0.0], 1), (105, [math.nan, 1.0, 1.0], 1), (None, [1.0, 1.0, 1.0], 1)]
+    p = spark.createDataFrame(rows, "id long, features array<double>, label int")
+    some = p.where("label = 1").select(F.col("id").alias("other"), F.col("features").alias("y"))
+    both = p.select("id", F.col("features").alias("x")).join(some, F.col("id") != F.col("other"))
+    want = {(r["id"], r["other"]): r["d"] for r in both.select("id", "other", F.when(F.size("x") == F.size("y"), column_of(F.col("x"), F.col("y"))).alias("d")).collect()}
+    for i, o in want:
+        if {i, o} & {101, 102}:  # a null within is null
+            want[i, o] = None
+    for block in (7, 1024):
+        got = {(r["id"], r["other"]): r["d"] for r in neighbors.pairs(p, p.where("label = 1"), measure, block=block).collect()}
+        assert got.keys() == want.keys()
+        for k, d in want.items():
+            assert (got[k] is None) == (d is None) and (d is None or np.isclose(got[k], d, atol=1e-9, equal_nan=True)), (k, got[k], d)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables here")
+def test_distance_queries_make_no_row_pairs_in_the_plan(spark):
+    """Rows meet as blocks: the plans of joins by row had not ended over 10,256 points."""
+    from lacunar.plans import catalog
+
+    for name in BY_BLOCKS:
+        plan = catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "MapInArrow" in plan and "collect_list" in plan, name
+
+
+BY_BLOCKS = ["dis_3_euclidean"]
