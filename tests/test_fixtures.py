@@ -267,6 +267,7 @@ def test_fingerprints_of_other_rows(spark):
 
 ODD_PAIRS = {
     "euclidean": (lambda x, y: neighbors.distances(x, y, "euclidean"), lambda x, y: X.distance(x, y, "euclidean")),
+    "manhattan": (lambda x, y: neighbors.distances(x, y, "manhattan"), lambda x, y: X.distance(x, y, "manhattan")),
 }
 
 
@@ -299,4 +300,4 @@ def test_distance_queries_make_no_row_pairs_in_the_plan(spark):
         assert "MapInArrow" in plan and "collect_list" in plan, name
 
 
-BY_BLOCKS = ["dis_3_euclidean"]
+BY_BLOCKS = ["dis_3_euclidean", "dis_6_manhattan"]
