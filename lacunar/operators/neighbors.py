@@ -44,7 +44,7 @@ def distances(x: np.ndarray, y: np.ndarray, metric: str = "euclidean", p: float
         elif metric == "chebyshev":
             out[i] = d.max(1)
         elif metric == "minkowski":
-            out[i] = (d**p).sum(1) ** (1 / p)
+            out[i] = (d * d * d if p == 3 else d**p).sum(1) ** (1 / p)
         else:
             raise ValueError(f"unknown metric: {metric}")
     return out

@@ -95,7 +95,7 @@ for _name, (_metric, _sql) in _DIST.items():
 
     @query(_name, "id i, other i, d d", f"{_LABELLED} SELECT id, other, {_sql} AS d FROM near")
     def _(spark, d, metric=_metric):
-        if metric in ("euclidean", "chebyshev", "manhattan"):
+        if metric in ("euclidean", "chebyshev", "manhattan", "minkowski"):
             return _near(spark, d, lambda x, y: neighbors.distances(x, y, metric))
         return _near_rows(spark, d).withColumn("d", X.distance(F.col("x"), F.col("y"), metric))
 
