@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import expressions as X
+from ..functions import numeric
 from ..operators import neighbors, profile, series
 from .base import POINTS, RANGES, SERIES, frame, hourly, points
 from .catalog import query
@@ -107,7 +108,7 @@ def _(spark, d):
 
 @query("dis_7_linear_kernel", "id i, other i, k d", f"{_LABELLED} SELECT id, other, list_dot_product(x, y) AS k FROM near")
 def _(spark, d):
-    return _near_rows(spark, d).withColumn("k", X.dot(F.col("x"), F.col("y")))
+    return _near(spark, d, lambda x, y: numeric.kernel(x, y, "linear"), "k")
 
 
 @query("dis_8_rbf_kernel", "id i, other i, k d", f"{_LABELLED} SELECT id, other, exp(-pow(list_distance(x, y), 2) / 2.0) AS k FROM near")

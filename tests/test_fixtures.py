@@ -269,6 +269,7 @@ ODD_PAIRS = {
     "euclidean": (lambda x, y: neighbors.distances(x, y, "euclidean"), lambda x, y: X.distance(x, y, "euclidean")),
     "manhattan": (lambda x, y: neighbors.distances(x, y, "manhattan"), lambda x, y: X.distance(x, y, "manhattan")),
     "minkowski": (lambda x, y: neighbors.distances(x, y, "minkowski"), lambda x, y: X.distance(x, y, "minkowski")),
+    "linear": (lambda x, y: numeric.kernel(x, y, "linear"), X.dot),
 }
 
 
@@ -301,4 +302,4 @@ def test_distance_queries_make_no_row_pairs_in_the_plan(spark):
         assert "MapInArrow" in plan and "collect_list" in plan, name
 
 
-BY_BLOCKS = ["dis_3_euclidean", "dis_6_manhattan", "dis_6_minkowski"]
+BY_BLOCKS = ["dis_3_euclidean", "dis_6_manhattan", "dis_6_minkowski", "dis_7_linear_kernel"]
