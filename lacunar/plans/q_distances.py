@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import expressions as X
@@ -113,7 +114,7 @@ def _(spark, d):
 
 @query("dis_8_rbf_kernel", "id i, other i, k d", f"{_LABELLED} SELECT id, other, exp(-pow(list_distance(x, y), 2) / 2.0) AS k FROM near")
 def _(spark, d):
-    return _near_rows(spark, d).withColumn("k", X.rbf(F.col("x"), F.col("y"), 2.0))
+    return _near(spark, d, lambda x, y: np.exp(-(neighbors.distances(x, y) ** 2) / 2.0), "k")
 
 
 # joins
