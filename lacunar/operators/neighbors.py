@@ -32,10 +32,10 @@ def distances(x: np.ndarray, y: np.ndarray, metric: str = "euclidean", p: float
                 d[a, b] = ((x[a] - y[b]) ** 2).sum(1)
             return np.sqrt(np.maximum(d, 0))
     if metric == "cosine":
-        nx, ny = np.sqrt((x * x).sum(1)), np.sqrt((y * y).sum(1))
+        n = np.sqrt((x * x).sum(1))[:, None] * np.sqrt((y * y).sum(1))[None, :]
         with np.errstate(divide="ignore", invalid="ignore"):
-            c = np.nan_to_num(x @ y.T / nx[:, None] / ny[None, :])
-        return np.arccos(np.where(c > 1 - 1e-8, 1.0, np.clip(c, -1, 1))) / math.pi
+            c = np.where(n == 0, 0.0, x @ y.T / n)
+        return np.arccos(np.where((c > 1 - 1e-8) | np.isnan(c), 1.0, np.clip(c, -1, 1))) / math.pi  # as the column function
     out = np.empty((len(x), len(y)))
     for i, r in enumerate(x):
         d = np.abs(y - r)

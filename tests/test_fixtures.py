@@ -271,6 +271,7 @@ ODD_PAIRS = {
     "minkowski": (lambda x, y: neighbors.distances(x, y, "minkowski"), lambda x, y: X.distance(x, y, "minkowski")),
     "linear": (lambda x, y: numeric.kernel(x, y, "linear"), X.dot),
     "rbf": (lambda x, y: np.exp(-(neighbors.distances(x, y) ** 2) / 2.0), lambda x, y: X.rbf(x, y, 2.0)),
+    "cosine": (lambda x, y: neighbors.distances(x, y, "cosine"), lambda x, y: X.distance(x, y, "cosine")),
 }
 
 
@@ -303,4 +304,4 @@ def test_distance_queries_make_no_row_pairs_in_the_plan(spark):
         assert "MapInArrow" in plan and "collect_list" in plan, name
 
 
-BY_BLOCKS = ["dis_3_euclidean", "dis_6_manhattan", "dis_6_minkowski", "dis_7_linear_kernel", "dis_8_rbf_kernel"]
+BY_BLOCKS = ["dis_3_euclidean", "dis_6_manhattan", "dis_6_minkowski", "dis_7_linear_kernel", "dis_8_rbf_kernel", "dis_5_angular"]
