@@ -308,25 +308,55 @@ def ssad(k: np.ndarray, y: np.ndarray, kappa: float = 1.0, cp: float = 1.0, cu:
 # clusters
 
 
-def kmeans(x: np.ndarray, k: int, seed: int = 0, apart: list[tuple[int, int]] | None = None, rounds: int = 100) -> tuple[np.ndarray, np.ndarray]:
-    """(labels, centres); apart: pairs that may not share a cluster, dropped where they cannot hold."""
+def _sided(d: np.ndarray, sides: np.ndarray) -> np.ndarray:
+    """Each point's nearest cluster that holds none of the other side yet, nearest points first; else the nearest.
+
+    A choice changes only when a cluster gets its first point of a side, so all
+    points up to the next such one choose at once.
+    """
+    new = d.argmin(1)
+    order = np.argsort(d.min(1), kind="stable")
+    order = order[sides[order] != 0]
+    row = (sides[order] < 0).astype(int)
+    held = np.zeros((2, d.shape[1]), bool)  # clusters with a point of side 1, of side -1
+    at = 0
+    while at < len(order):
+        i, r = order[at:], row[at:]
+        free = ~held[1 - r]
+        pick = np.where(free.any(1), np.where(free, d[i], np.inf).argmin(1), d[i].argmin(1))
+        first = np.flatnonzero(~held[r, pick])
+        n = int(first[0]) + 1 if len(first) else len(i)
+        new[i[:n]] = pick[:n]
+        held[r[n - 1], pick[n - 1]] = True
+        at += n
+    return new
+
+
+def kmeans(x: np.ndarray, k: int, seed: int = 0, apart: list[tuple[int, int]] | None = None, rounds: int = 100, sides: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(labels, centres); apart: pairs that may not share a cluster, dropped where they cannot hold.
+
+    sides: 1, -1 or 0 (neither) for each point; instead of all pairs of a 1 and a -1.
+    """
     rng, k = generator("kmeans", seed), min(k, len(x))
     centres = x[[int(rng.integers(len(x)))]]
+    far = lambda c: ((x - c) ** 2).sum(1)
+    least = far(centres[0])
     while len(centres) < k:
-        d = ((x[:, None] - centres[None]) ** 2).sum(2).min(1)
-        centres = np.vstack([centres, x[int(d.argmax())]])
+        centres = np.vstack([centres, x[int(least.argmax())]])
+        least = np.minimum(least, far(centres[-1]))
     rivals: dict[int, list[int]] = {}
     for a, b in apart or []:
         rivals.setdefault(a, []).append(b)
         rivals.setdefault(b, []).append(a)
     labels = np.full(len(x), -1)
     for _ in range(rounds):
-        d = ((x[:, None] - centres[None]) ** 2).sum(2)
+        d = np.stack([far(c) for c in centres], 1)
         new = np.full(len(x), -1)
         for i in np.argsort(d.min(1), kind="stable") if rivals else []:
             taken = {new[j] for j in rivals.get(int(i), [])}
             new[i] = next((c for c in np.argsort(d[i], kind="stable") if c not in taken), d[i].argmin())
-        new = new if rivals else d.argmin(1)
+        if not rivals:
+            new = d.argmin(1) if sides is None else _sided(d, sides)
         if (new == labels).all():
             break
         labels = new

@@ -100,7 +100,7 @@ def _bounded(points: DataFrame, most: int | None, seed: str) -> pd.DataFrame:
     """At most so many rows (None: all), those of least hash, on the driver, in order of the hash."""
     rows = points.withColumn("_h", hashed(seed, "id"))
     rows = rows.orderBy("_h", "id").limit(most) if most is not None else rows
-    return rows.toPandas().sort_values(["_h", "id"]).drop(columns="_h")
+    return rows.toArrow().to_pandas().sort_values(["_h", "id"]).drop(columns="_h")  # packed arrays, not lists of numbers
 
 
 def one_class_svm(points: DataFrame, nu: float = 0.5, share: float = 0.1, kind: str = "rbf", gamma: float | None = None, degree: int = 3, coef0: float = 0.0, most: int | None = 1500, seed: str = "osvm") -> DataFrame:
@@ -246,8 +246,7 @@ def cluster_prior(points: DataFrame, clusters: int = 10, tol: float = 1e-8, most
     pdf = pd.concat([_bounded(points.where("label <> 0"), None, seed), _bounded(points.where("label = 0"), most, seed)])
     pdf = pdf.assign(_h=[hashlib.md5(f"{seed}:{i}".encode()).hexdigest() for i in pdf.id]).sort_values(["_h", "id"]).reset_index(drop=True)
     x = np.stack(pdf.features).astype(float)
-    bad, good = np.flatnonzero(pdf.label == 1), np.flatnonzero(pdf.label == -1)
-    _, c = numeric.kmeans(x, clusters, apart=[(int(i), int(j)) for i in bad for j in good])
+    _, c = numeric.kmeans(x, clusters, sides=np.sign(pdf.label.to_numpy()))
     between = np.sqrt(((c[:, None] - c[None]) ** 2).sum(2))
     between[between < tol] = np.inf
     deviation = between.min(1)

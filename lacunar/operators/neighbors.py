@@ -2,7 +2,7 @@
 
 Points are dealt into blocks; every pair of blocks is one tile, whose distances
 NumPy computes at once and of which only the k best of each query leave the
-task. So the exact join costs n * n distances but ships k rows a query and tile.
+task. So the exact join costs n * n distances but ships k rows a query and task.
 """
 
 from __future__ import annotations
@@ -105,20 +105,46 @@ def knn(points: DataFrame, queries: DataFrame, k: int, metric: str = "euclidean"
     key = [by] if by else []
 
     def tile(batches):
+        best: dict[tuple, tuple] = {}  # a block of queries: its ids, how far its rows still look, and what they have so far
+
+        def found():
+            for own, (iq, _, i, o, v) in best.items():
+                out = pd.DataFrame({"id": iq[i], "other": o, "d": v})
+                if by:
+                    out[by] = own[1]
+                yield out
+
         for pdf in batches:
             for r in pdf.itertuples(index=False):
-                x, y = np.stack(r.xq).astype(float), np.stack(r.xp).astype(float)
                 iq, ip = np.asarray(r.idsq), np.asarray(r.idsp)
-                d = distances(x, y, metric)
+                d = distances(np.stack(r.xq).astype(float), np.stack(r.xp).astype(float), metric)
                 if exclude_self:
                     d[iq[:, None] == ip[None, :]] = np.inf
-                m = min(k, d.shape[1])
-                order = np.lexsort((np.broadcast_to(ip, d.shape), d), axis=1)[:, :m]
-                got = np.take_along_axis(d, order, axis=1)
-                out = pd.DataFrame({"id": np.repeat(iq, m), "other": ip[order].ravel(), "d": got.ravel()})
-                if by:
-                    out[by] = getattr(r, by)
-                yield out[np.isfinite(out.d)]
+                own = (r.bq, getattr(r, by) if by else None)
+                if own in best and not np.array_equal(best[own][0], iq):  # the block again, in another order
+                    yield from found()
+                    best = {}
+                if own not in best:
+                    m = min(k, d.shape[1])
+                    best[own] = (iq, np.partition(d, m - 1, axis=1)[:, m - 1], np.zeros(0, int), np.zeros(0, ip.dtype), np.zeros(0))
+                _, limit, i, o, v = best[own]
+                row, col = np.nonzero(~(d > limit[:, None]))
+                i, o, v = np.concatenate([i, row]), np.concatenate([o, ip[col]]), np.concatenate([v, d[row, col]])
+                order = np.lexsort((o, v, i))
+                i, o, v = i[order], o[order], v[order]
+                n = np.bincount(i, minlength=len(iq))
+                rank = np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+                keep = (rank < k) & np.isfinite(v)
+                i, o, v = i[keep], o[keep], v[keep]
+                n = np.bincount(i, minlength=len(iq))
+                limit = np.full(len(iq), np.inf)
+                limit[n == k] = v[np.cumsum(n)[n == k] - 1]
+                best[own] = (iq, limit, i, o, v)
+                if len(best) > 64:  # the last one goes on
+                    last = best.pop(own)
+                    yield from found()
+                    best = {own: last}
+        yield from found()
 
     # a partition for every tile or so: tiles are few and heavy
     best = tiles.mapInPandas(tile, "id long, other long, d double" + (f", {by} string" if by else ""))

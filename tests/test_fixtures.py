@@ -305,3 +305,28 @@ def test_distance_queries_make_no_row_pairs_in_the_plan(spark):
 
 
 BY_BLOCKS = ["dis_3_euclidean", "dis_6_manhattan", "dis_6_minkowski", "dis_7_linear_kernel", "dis_8_rbf_kernel", "dis_5_angular"]
+
+
+def test_sided_clusters_equal_clusters_of_all_pairs():
+    for seed in range(12):
+        rng = np.random.default_rng(seed)
+        x, sides = rng.normal(size=(90, 4)), rng.integers(-1, 2, 90) if seed else np.ones(90, int)
+        pairs = [(int(i), int(j)) for i in np.flatnonzero(sides == 1) for j in np.flatnonzero(sides == -1)]
+        want, got = numeric.kmeans(x, 2 + seed % 5, apart=pairs), numeric.kmeans(x, 2 + seed % 5, sides=sides)
+        assert (got[0] == want[0]).all() and (got[1] == want[1]).all()
+    many = np.random.default_rng(1).normal(size=(22_000, 4))  # 121 million pairs
+    labels, _ = numeric.kmeans(many, 6, sides=np.tile([1, -1], 11_000), rounds=3)
+    assert len(labels) == 22_000
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "cosine"])
+def test_nearest_equal_brute_force_with_copies(spark, metric):
+    rng = np.random.default_rng(3)
+    x = np.vstack([rng.normal(size=(60, 3)), np.ones((25, 3)), rng.normal(size=(5, 3))])
+    pts = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, features array<double>")
+    d = neighbors.distances(x, x, metric)
+    np.fill_diagonal(d, np.inf)
+    want = np.lexsort((np.broadcast_to(np.arange(90), d.shape), d), axis=1)[:, :7]
+    for block in (8, 1024):
+        got = {(r["id"], r["rank"]): r["other"] for r in neighbors.knn(pts, pts, 7, metric, block=block).collect()}
+        assert got == {(i, j + 1): int(want[i, j]) for i in range(90) for j in range(7)}
