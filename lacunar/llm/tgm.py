@@ -250,6 +250,35 @@ def _open(n: int, percent: int):
     return run
 
 
+def _met(posted: DataFrame, home: DataFrame, percent: int) -> DataFrame:
+    """(h1, h2, n, times, to, needed): a prefix token of a set and a group that holds it too.
+
+    posted: the sets' prefix tokens (h1, h2, n, token, times); home: the groups of
+    sets (h1, h2, n, g). A set and a group share at most the tokens of each that
+    any other holds. Where that, or the sizes, already rule out a link, their shared
+    tokens do not meet, so that tokens shared by chance make no rows.
+    """
+    ids = ["h1", "h2"]
+    sizes = home.groupBy("g").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    own = posted.groupBy(*ids).agg(F.sum("times").alias("most_x"))
+    seated = posted.join(home.select(*ids, "g"), ids)
+    matrix = seated.groupBy("token", "g").agg(F.count(F.lit(1)).alias("held"), F.max("times").alias("t"))
+    most = matrix.groupBy("g").agg(F.sum("t").alias("most_y"))
+    matrix = matrix.join(sizes.join(most, "g"), "g").select("token", F.col("g").alias("to"), "held", "lo", "hi", "most_y")
+    least = F.greatest(F.col("lo"), F.ceil(F.col("n") * percent / 100.0))
+    most = F.least(F.col("hi"), F.floor(F.col("n") * 100.0 / percent))
+    both = lambda y: F.ceil((F.col("n") + y) * percent / (100.0 + percent)) - F.ceil(F.greatest(F.col("n").cast("long"), y) * percent / 100.0)
+    needed = F.least(both(least) + 1, both(most))
+    pairs = seated.join(own, ids).join(matrix, "token").where("g <> to or held > 1").where(least <= most).where(F.least("most_x", "most_y") >= needed)
+    return pairs.select(*ids, "n", "times", "to", needed.alias("needed"))
+
+
+def _asked(posted: DataFrame, home: DataFrame, percent: int) -> DataFrame:
+    """The queries (h1, h2, n, g) of each group, by the token-group matrix."""
+    ids = ["h1", "h2"]
+    return _met(posted, home, percent).groupBy(*ids, "n", "to").agg(F.sum("times").alias("both"), F.first("needed").alias("needed")).where("both >= needed").select(*ids, "n", F.col("to").alias("g"))
+
+
 def join(df: DataFrame, n: int = 3, percent: int = 90, text: str = "text", key: str = "doc_id", group: int = GROUP) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of df."""
     small_batches(df.sparkSession)
@@ -292,15 +321,7 @@ def join(df: DataFrame, n: int = 3, percent: int = 90, text: str = "text", key:
     home = posted.groupBy(*ids, "n").agg(F.max(F.struct("m", "token"))["token"].alias("g")).withColumn("g", F.xxhash64("g", F.floor(F.log("n") * BANDS)))
     crowd = home.groupBy("g").agg(F.sum("n").alias("c"))
     home = materialize(home.join(crowd, "g").select(*ids, "n", F.xxhash64("g", F.pmod(F.xxhash64(*ids), F.ceil(F.col("c") / group))).alias("g")))
-    sizes = home.groupBy("g").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    seated = posted.join(home.select(*ids, "g"), ids)
-    matrix = seated.groupBy("token", "g").agg(F.count(F.lit(1)).alias("held")).withColumnRenamed("g", "to")
-    asked = seated.join(matrix, "token").where("g <> to or held > 1").groupBy(*ids, "n", "to").agg(F.sum("times").alias("both"))
-    asked = asked.withColumnRenamed("to", "g").join(sizes, "g")
-    least = F.greatest(F.col("lo"), F.ceil(F.col("n") * percent / 100.0))
-    most = F.least(F.col("hi"), F.floor(F.col("n") * 100.0 / percent))
-    both = lambda y: F.ceil((F.col("n") + y) * percent / (100.0 + percent)) - F.ceil(F.greatest(F.col("n").cast("long"), y) * percent / 100.0)
-    ask = materialize(asked.where(least <= most).where(F.col("both") >= F.least(both(least) + 1, both(most))).select(*ids, "g"))
+    ask = materialize(_asked(posted, home, percent).select(*ids, "g"))
 
     crowd = ask.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / QUERIES).alias("c"))
     asking = ask.join(crowd, "g").select("g", F.pmod(F.xxhash64(*ids), F.col("c")).alias("part"), F.lit(1).alias("query"), *ids)

@@ -4,6 +4,7 @@ import hashlib
 import random
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -289,3 +290,26 @@ def test_an_id_joins_all_that_its_texts_link_with(spark):
     df = spark.createDataFrame([(5, a), (5, b), (3, b), (2, a), (9, c), (7, None), (7, a)], "doc_id long, text string")
     got = sorted((r["doc_id"], r["component_id"]) for r in tgm.join(df).where("n_shingles > 0").collect())
     assert got == [(2, 2), (3, 2), (5, 2), (5, 2), (7, 2), (9, 9)]
+
+
+def test_tokens_shared_by_chance_make_no_rows_of_the_matrix(spark):
+    """Queries as by the plain matrix, from rows that do not grow with the square of a token's sets."""
+    rng = np.random.default_rng(4)
+    sets = [(i, int(n)) for i, n in enumerate(rng.integers(20, 2000, 150))] + [(200 + i, 300 + i) for i in range(6)]
+    tokens = {i: {1: 1} | {int(t): 1 for t in rng.integers(10, 400, 3)} | ({1000 + j: 1 for j in range(60)} if i >= 200 else {}) for i, _ in sets}
+    group = {i: 7 if i >= 200 else i for i, _ in sets}
+    posted = spark.createDataFrame([(i, 0, n, t, k) for i, n in sets for t, k in tokens[i].items()], "h1 long, h2 long, n int, token long, times long")
+    home = spark.createDataFrame([(i, 0, n, group[i]) for i, n in sets], "h1 long, h2 long, n int, g long")
+    percent, want, plain = 80, set(), 0
+    for i, n in sets:
+        for g in set(group.values()):
+            held = [t for t in tokens[i] if sum(t in tokens[j] for j, _ in sets if group[j] == g) > (group[i] == g)]
+            plain += len(held)
+            inside = [m for j, m in sets if group[j] == g]
+            lo, hi = max(min(inside), -(-n * percent // 100)), min(max(inside), n * 100 // percent)
+            both = lambda y: -(-(n + y) * percent // (100 + percent)) - -(-max(n, y) * percent // 100)  # noqa: E731, B023
+            if held and lo <= hi and len(held) >= min(both(lo) + 1, both(hi)):
+                want.add((i, g))
+    got = {(r["h1"], r["g"]) for r in tgm._asked(posted, home, percent).collect()}
+    assert got == want and any(i >= 200 for i, _ in got)
+    assert plain > 20_000 > 4 * tgm._met(posted, home, percent).count()
