@@ -330,3 +330,24 @@ def test_nearest_equal_brute_force_with_copies(spark, metric):
     for block in (8, 1024):
         got = {(r["id"], r["rank"]): r["other"] for r in neighbors.knn(pts, pts, 7, metric, block=block).collect()}
         assert got == {(i, j + 1): int(want[i, j]) for i in range(90) for j in range(7)}
+
+
+def test_semi_supervised_machine_without_a_whole_kernel(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=4).tolist(), -1 if i < 150 else 0) for i in range(260)] + [(300 + i, (rng.normal(size=4) + 4).tolist(), 1) for i in range(40)]
+    pts = spark.createDataFrame(rows, "id long, features array<double>, label int")
+    x = np.array([r[1] for r in rows])
+    w = rng.normal(size=300)
+    assert np.allclose(ensemble._products(spark, x, "rbf", 0.1)(w), numeric.kernel(x, x, "rbf", 0.1) @ w)
+    for kind, gamma in (("linear", 0.1), ("rbf", 50.0), ("poly", 0.1)):  # 50: out of the range of the factors
+        assert np.allclose(numeric.kernel_times(x, x, w, kind, gamma), numeric.kernel(x, x, kind, gamma) @ w)
+    assert numeric.top_eigenvalue(lambda z: x @ (x.T @ z), 300) == pytest.approx(np.linalg.eigvalsh(x @ x.T)[-1], rel=2e-3)
+    want = {r["id"]: (r["score"], r["pred"]) for r in ensemble.ssad(pts, width=8.0).collect()}
+    whole, most = numeric.kernel, []
+    monkeypatch.setattr(ensemble, "WHOLE", 10)
+    monkeypatch.setattr(ensemble, "_products", lambda _, x, kind, gamma: lambda z: numeric.kernel_times(x, x, z, kind, gamma))  # a job for each would take a minute
+    monkeypatch.setattr(numeric, "kernel", lambda x, y, *more: most.append(len(x)) or whole(x, y, *more))
+    got = {r["id"]: (r["score"], r["pred"]) for r in ensemble.ssad(pts, width=8.0).collect()}
+    assert max(most, default=0) <= 256 and got.keys() == want.keys()
+    for i, (score, pred) in got.items():
+        assert pred == want[i][1] and score == pytest.approx(want[i][0], abs=2e-3)
