@@ -351,3 +351,24 @@ def test_semi_supervised_machine_without_a_whole_kernel(spark, monkeypatch):
     assert max(most, default=0) <= 256 and got.keys() == want.keys()
     for i, (score, pred) in got.items():
         assert pred == want[i][1] and score == pytest.approx(want[i][0], abs=2e-3)
+
+
+@pytest.mark.parametrize("held", [4200, 4199])
+def test_cluster_prior_takes_all_points(spark, monkeypatch, held):
+    import hashlib
+
+    monkeypatch.setattr(ensemble, "HELD", held)
+    rng = np.random.default_rng(11)
+    rows = [(i, rng.normal(size=3).tolist(), int(rng.choice([0, 0, 0, 0, 0, 0, 1, -1]))) for i in range(4200)]
+    pts = spark.createDataFrame(rows, "id long, features array<double>, label int").repartition(3)
+    rows.sort(key=lambda r: hashlib.md5(f"cop:{r[0]}".encode()).hexdigest())
+    x = np.array([r[1] for r in rows])
+    _, c = numeric.kmeans(x, 6, sides=np.array([r[2] for r in rows]))
+    d = np.sqrt(((x[:, None] - c[None]) ** 2).sum(2))
+    k, gap = d.argmin(1), np.sqrt(((c[:, None] - c[None]) ** 2).sum(2)) + np.diag(np.full(6, np.inf))
+    radius, n = np.array([d[k == j, j].max() for j in range(6)]), np.bincount(k, minlength=6)
+    want = d.min(1) / radius[k] * (gap.min(1) / gap.min(1).max())[k] / (n / n.max())[k]
+    got = {r["id"]: r["prior"] for r in ensemble.cluster_prior(pts, 6).collect()}
+    assert len(got) == 4200 and np.allclose([got[r[0]] for r in rows], want, rtol=1e-9)
+    for part in (pts.where("label = 0"), pts.where("label <> 0"), pts.where("id < 3")):  # no labels, nothing else, fewer points than clusters
+        assert ensemble.cluster_prior(part, 6).count() == part.count()
