@@ -372,3 +372,37 @@ def test_cluster_prior_takes_all_points(spark, monkeypatch, held):
     assert len(got) == 4200 and np.allclose([got[r[0]] for r in rows], want, rtol=1e-9)
     for part in (pts.where("label = 0"), pts.where("label <> 0"), pts.where("id < 3")):  # no labels, nothing else, fewer points than clusters
         assert ensemble.cluster_prior(part, 6).count() == part.count()
+
+
+@pytest.mark.parametrize("query", ["est_8_ssad"])
+def test_semi_supervised_machine_is_fitted_on_all_points(spark, monkeypatch, query):
+    from lacunar.plans import catalog, q_estimators
+
+    rng = np.random.default_rng(13)
+    x = rng.normal(size=(1500, 5)) * [1, 1, 0.3, 0.3, 0.1]
+    y = np.where(np.arange(1500) < 120, -1, np.where(np.arange(1500) < 200, 1, 0))
+    pts = spark.createDataFrame([(i, v.tolist(), int(k)) for i, (v, k) in enumerate(zip(x, y, strict=True))], "id long, features array<double>, label int").repartition(3)
+    monkeypatch.setattr(q_estimators, "points", lambda spark, d: pts)
+    fit, fitted = numeric.ssad_fit, []
+    monkeypatch.setattr(numeric, "ssad_fit", lambda k, y, *more, **named: fitted.append(y) or fit(k, y, *more, **named))
+    got = {r["id"]: r["score"] for r in catalog.queries()[query](spark, "").collect()}
+    assert len(got) == 1500 and len(fitted) == 1 and sorted(fitted[0]) == sorted(-y)
+
+
+def test_semi_supervised_machine_reaches_the_least_value():
+    rng = np.random.default_rng(17)
+    x = rng.normal(size=(250, 4)) / 4
+    y = np.where(np.arange(250) < 30, 1.0, np.where(np.arange(250) < 50, -1.0, 0.0))
+    cy = np.where(y >= 0, 1.0, -1.0)
+    for gamma, far, tol in ((0.05, False, 1e-5), (0.05, True, 1e-5), (2.0, False, 1e-3)):  # narrow kernels end by their rounds
+        k, near = numeric.kernel(x, x, "rbf", gamma), numeric.moments(x, gamma)
+        z = rng.normal(size=250)
+        if far:
+            assert abs(near[0](z) - k @ z).max() <= near[1] * abs(z).sum()
+        w, _, s = numeric.ssad_fit(k, y, near=near if far else None)
+        a, g = w * cy, cy * (k @ w)
+        assert np.allclose(s, k @ w) and w.sum() == pytest.approx(1) and a[y != 0].sum() >= 1 - 1e-6 and a.min() >= 0 and a.max() <= 1
+        # the least of the linear problem: p of the normals, q of the anomalies, 1 + q - p of the others, p + q >= 1
+        p, q, u = (np.append(0, np.cumsum(np.repeat(np.sort(g[y == v]) / 2, 2))) for v in (1, -1, 0))  # by halves
+        best = min(p[i] + q[j] + u[2 + j - i] for i in range(len(p)) for j in range(len(q)) if i + j >= 2 and 0 <= 2 + j - i < len(u))
+        assert a @ g - best <= tol * (a @ g) / 2
