@@ -374,7 +374,7 @@ def test_cluster_prior_takes_all_points(spark, monkeypatch, held):
         assert ensemble.cluster_prior(part, 6).count() == part.count()
 
 
-@pytest.mark.parametrize("query", ["est_8_ssad", "est_9_convex_ssad"])
+@pytest.mark.parametrize("query", ["est_8_ssad", "est_9_convex_ssad", "flt_8_support_vectors"])
 def test_semi_supervised_machine_is_fitted_on_all_points(spark, monkeypatch, query):
     from lacunar.plans import catalog, q_estimators
 
